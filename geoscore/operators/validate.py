@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoscore.functions.scores import binary_label
 from geoscore.schema import CATEGORICAL, EXCLUDED, FEATURES, LABEL
@@ -13,6 +14,9 @@ from geoscore.schema import CATEGORICAL, EXCLUDED, FEATURES, LABEL
 # Decimal number as text, with the special words a double can also be spelled with.
 NUMBER_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|nan|inf|infinity)\s*$"
 
+# Quoted spellings that a cast takes for a number and a typed request does not.
+ODD_NUMBER = r'"\s*[+-]?([0-9.]+([eE][+-]?[0-9]+)?[dDfF]|0[xX][^"]*)\s*"'
+
 
 def missing_fields(present: Iterable[str] | Mapping, wanted: Sequence[str] = FEATURES) -> list[str]:
     """All wanted names absent from ``present``, in wanted order."""
@@ -52,17 +56,50 @@ def drop_excluded(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.drop(*[name for name in EXCLUDED if name not in keep])
 
 
+def _closed(record: Column) -> Column:
+    """The text itself if it ends as an object does; parsers ignore what follows the brace."""
+    return F.when(F.rtrim(record).endswith("}"), record)
+
+
 def missing_in_record(record: Column | str, wanted: Sequence[str] = FEATURES) -> Column:
     """Names absent from a JSON object; a key holding null is present, bad JSON misses all."""
     record = F.col(record) if isinstance(record, str) else record
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    return F.array_except(F.array(*[F.lit(name) for name in wanted]), keys)
+    keys = F.map_keys(F.from_json(_closed(record), "map<string,string>"))
+    names = F.array(*[F.lit(name) for name in wanted])
+    return F.array_except(names, F.coalesce(keys, F.array().cast("array<string>")))
 
 
 def _text_is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(NUMBER_TEXT), F.lit(False))
 
 
+def _with_errors(
+    df: DataFrame, keep: Sequence[str], typed: Mapping[str, Column], faults: Mapping[str, Column]
+) -> DataFrame:
+    """``keep`` columns, typed fields, and ``errors`` with each field's fault, if any.
+
+    The one-row ``inline`` keeps a later filter on ``errors`` above the typed
+    fields: Spark would otherwise repeat all their parsing inside the filter.
+    """
+    values = df.select(
+        *keep,
+        *[value.alias(name) for name, value in typed.items()],
+        *[fault.alias(f"_fault_{name}") for name, fault in faults.items()],
+    )
+    fields = [*typed, *[f"_fault_{name}" for name in faults]]
+    settled = values.select(*keep, F.inline(F.array(F.struct(*fields))))
+    errors = F.array_compact(
+        F.array(
+            *[
+                # NULL, and so left out, where the field has no fault.
+                F.concat(F.lit(f"{name}: "), f"_fault_{name}")
+                for name in faults
+            ]
+        )
+    )
+    return settled.select(*keep, *typed, errors.alias("errors"))
+
+
 def check_records(
     df: DataFrame,
     record: str = "record",
@@ -75,44 +112,37 @@ def check_records(
     field order. Number fields take numbers, booleans and number-like text; text
     fields take text only. Nothing is dropped: see :func:`split_checked`.
     """
-    numbers = [name for name in wanted if name not in text_fields]
-    # Three projections, so that parsing and each path lookup happen once per row.
-    parsed = df.select(
+    text = F.col(record)
+    # Members as variants: an absent one is NULL, a null one is a variant null.
+    members_type = T.StructType([T.StructField(name, T.VariantType()) for name in wanted])
+    members = df.select(
         *df.columns,
-        F.try_parse_json(record).alias("_json"),
-        missing_in_record(record, wanted).alias("_missing"),
+        F.coalesce(text.rlike(ODD_NUMBER), F.lit(False)).alias("_odd"),
+        F.from_json(_closed(text), members_type).alias("_json"),
     )
-    looked_up = parsed.select(
-        *df.columns,
-        "_missing",
-        *[F.try_variant_get("_json", f"$.{n}", "string").alias(f"_text_{n}") for n in wanted],
-        *[F.try_variant_get("_json", f"$.{n}", "double").alias(f"_double_{n}") for n in numbers],
-        *[
-            F.schema_of_variant(F.try_variant_get("_json", f"$.{n}", "variant")).alias(f"_kind_{n}")
-            for n in wanted
-        ],
-    )
-    typed, errors = [], []
+    values = {}
     for name in wanted:
-        kind, text = F.col(f"_kind_{name}"), F.col(f"_text_{name}")
-        if name in numbers:
-            scalar = kind.isin("BIGINT", "DOUBLE", "BOOLEAN") | kind.startswith("DECIMAL")
-            value = F.when(scalar, F.col(f"_double_{name}")).when(
-                (kind == "STRING") & _text_is_number(text), F.trim(text).try_cast("double")
-            )
-            fault = "not_number"
+        member = F.col(f"_json.{name}")
+        kind = F.schema_of_variant(member)
+        as_text = F.try_variant_get(member, "$", "string")
+        if name in text_fields:
+            value = F.when(kind == "STRING", as_text)
         else:
-            value = F.when(kind == "STRING", text)
-            fault = "not_text"
-        typed.append(value.alias(name))
-        errors.append(
-            F.when(F.array_contains("_missing", name), F.lit(f"{name}: missing")).when(
-                value.isNull(), F.lit(f"{name}: {fault}")
-            )
-        )
-    return looked_up.select(
-        *df.columns, *typed, F.array_compact(F.array(*errors)).alias("errors")
+            odd = F.col("_odd") & (kind == "STRING") & ~_text_is_number(as_text)
+            value = F.when(~odd, F.try_variant_get(member, "$", "double"))
+        values[name] = value
+    typed = members.select(
+        *df.columns,
+        *[value.alias(name) for name, value in values.items()],
+        *[F.col(f"_json.{name}").isNull().alias(f"_absent_{name}") for name in wanted],
     )
+    faults = {
+        name: F.when(F.col(f"_absent_{name}"), F.lit("missing")).when(
+            F.col(name).isNull(), F.lit("not_text" if name in text_fields else "not_number")
+        )
+        for name in wanted
+    }
+    return _with_errors(typed, df.columns, {name: F.col(name) for name in wanted}, faults)
 
 
 def check_columns(
@@ -125,21 +155,17 @@ def check_columns(
     Wanted columns become typed and ``errors array<string>`` lists the bad ones.
     """
     require_columns(df, wanted)
-    typed, errors = {}, []
+    values, faults = {}, {}
     for name in wanted:
         text = F.col(name).cast("string")
         if name in text_fields:
-            typed[name] = text
-            fault, good = "not_text", text.isNotNull()
+            values[name] = text
+            faults[name] = F.when(text.isNull(), F.lit("not_text"))
         else:
-            good = _text_is_number(text)
-            typed[name] = F.when(good, F.trim(text).try_cast("double"))
-            fault = "not_number"
-        errors.append(F.when(~good, F.lit(f"{name}: {fault}")))
-    return df.select(
-        *[typed[name].alias(name) if name in typed else F.col(name) for name in df.columns],
-        F.array_compact(F.array(*errors)).alias("errors"),
-    )
+            values[name] = F.when(_text_is_number(text), F.trim(text).try_cast("double"))
+            faults[name] = F.when(~_text_is_number(text), F.lit("not_number"))
+    others = [name for name in df.columns if name not in values]
+    return _with_errors(df, others, values, faults).select(*df.columns, "errors")
 
 
 def split_checked(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
