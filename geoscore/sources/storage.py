@@ -17,7 +17,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local session without one gets a scratch folder."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
