@@ -69,18 +69,19 @@ def class_weight(label: Column | str, positive_weight: float | Column) -> Column
     return F.when(_col(label) == 1, weight).otherwise(F.lit(1.0))
 
 
-def required(value: Column | str, message: str) -> Column:
+def _fail(message: str, like: str) -> Column:
+    return F.raise_error(F.lit(message)).cast(like)
+
+
+def required(value: Column | str, message: str, dtype: str = "string") -> Column:
     """The value itself; the query fails with ``message`` where it is NULL."""
-    value = _col(value)
-    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(message)))
+    return F.coalesce(_col(value), _fail(message, dtype))
 
 
 def required_score(score: Column | str) -> Column:
     """A score fit for ranking; NULL or NaN fails the query instead of dropping the row."""
-    score = _col(score).cast("double")
-    return F.when(score.isNotNull() & ~F.isnan(score), score).otherwise(
-        F.raise_error(F.lit("score is NULL or NaN"))
-    )
+    fail = _fail("score is NULL or NaN", "double")
+    return F.coalesce(F.nanvl(_col(score).cast("double"), fail), fail)
 
 
 def binary_label(label: Column | str) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoscore.functions.scores import binary_label, required
-from geoscore.functions.spatial import CELLS_PER_DEGREE, grid_cell, grid_cell_bound
+from geoscore.functions.spatial import CELLS_PER_DEGREE, grid_cell_bound, grid_index
 from geoscore.operators.ordering import numbered
 
 # Number of folds and the shuffle seed.
@@ -16,11 +18,11 @@ FOLDS, SEED = 5, 42
 BROADCAST_GROUPS = 1_000_000
 
 
-def group_counts(df: DataFrame, group: str, label: str) -> DataFrame:
+def group_counts(df: DataFrame, group: str | Sequence[str], label: str) -> DataFrame:
     """Positive and negative rows per group, combined before the shuffle."""
+    keys = [group] if isinstance(group, str) else list(group)
     y = binary_label(label)
-    key = required(F.col(group), f"{group} is NULL")
-    return df.groupBy(key.alias(group)).agg(
+    return df.groupBy(*keys).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
 
@@ -39,7 +41,7 @@ def deal_folds(
     seed: int | None = None,
     most_groups: int | None = None,
 ) -> DataFrame:
-    """``group, pos, neg, fold``: groups, largest first, dealt back and forth over the folds.
+    """The group counts with a ``fold``: groups, largest first, dealt back and forth over the folds.
 
     ``most_groups`` states a bound on the number of groups. Within
     ``BROADCAST_GROUPS`` the deal is one small window, and the query fails if the
@@ -47,7 +49,7 @@ def deal_folds(
     ``seed`` shuffles groups of equal size.
     """
     order = _deal_order(group, seed)
-    if most_groups is not None and most_groups <= BROADCAST_GROUPS:
+    if _bounded(most_groups):
         rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - F.lit(1)
         dealt = groups.withColumn("rn", rn).withColumn(
             "rn",
@@ -59,7 +61,17 @@ def deal_folds(
         dealt = numbered(groups, order)
     turn = F.pmod(F.col("rn"), F.lit(2 * folds))
     fold = F.when(turn < folds, turn).otherwise(F.lit(2 * folds - 1) - turn)
-    return dealt.select(group, "pos", "neg", fold.cast("int").alias("fold"))
+    return dealt.select(*groups.columns, fold.cast("int").alias("fold"))
+
+
+def _bounded(most_groups: int | None) -> bool:
+    return most_groups is not None and most_groups <= BROADCAST_GROUPS
+
+
+def _join_folds(df: DataFrame, fold_map: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+    """A bounded fold map is broadcast, so rows stay where they are. Without a bound
+    the join is left to adaptive execution, which splits a hot group's partition."""
+    return df.join(F.broadcast(fold_map) if bounded else fold_map, keys)
 
 
 def assign_folds(
@@ -70,16 +82,11 @@ def assign_folds(
     seed: int | None = None,
     most_groups: int | None = None,
 ) -> DataFrame:
-    """Every row with its group's ``fold``.
-
-    A bounded fold map is broadcast, so rows stay where they are. Without a bound
-    the join is left to adaptive execution, which splits a hot group's partition.
-    """
-    fold_map = deal_folds(group_counts(df, group, label), group, folds, seed, most_groups)
-    fold_map = fold_map.select(group, "fold")
-    if most_groups is not None and most_groups <= BROADCAST_GROUPS:
-        fold_map = F.broadcast(fold_map)
-    return df.join(fold_map, group)
+    """Every row with its group's ``fold``; a NULL group fails the query."""
+    dtype = df.schema[group].dataType.simpleString()
+    keyed = df.withColumn(group, required(group, f"{group} is NULL", dtype))
+    dealt = deal_folds(group_counts(keyed, group, label), group, folds, seed, most_groups)
+    return _join_folds(keyed, dealt.select(group, "fold"), [group], _bounded(most_groups))
 
 
 def assign_spatial_folds(
@@ -94,18 +101,20 @@ def assign_spatial_folds(
     """Every row with its grid ``cell`` and that cell's ``fold``.
 
     Coordinates outside +-90 and +-360 degrees fail the query; inside, the grid
-    itself bounds the number of cells.
+    itself bounds the number of cells. Rows are grouped and joined by the grid's
+    row and column numbers; the cell's text key is made once per cell.
     """
-    on_earth = (F.abs(F.col(latitude)) <= 90.0) & (F.abs(F.col(longitude)) <= 360.0)
-    cell = F.when(on_earth, grid_cell(latitude, longitude, cells_per_degree))
-    return assign_folds(
-        df.withColumn("cell", required(cell, "coordinates are missing or off the globe")),
-        "cell",
-        label,
-        folds,
-        seed,
-        most_groups=grid_cell_bound(cells_per_degree),
-    )
+
+    def index(name: str, limit: float) -> Column:
+        inside = F.when(F.abs(F.col(name)) <= limit, grid_index(name, cells_per_degree))
+        return required(inside, f"{name} is missing or off the globe", "bigint")
+
+    keys = ["_row", "_column"]
+    keyed = df.withColumns({"_row": index(latitude, 90.0), "_column": index(longitude, 360.0)})
+    cells = group_counts(keyed, keys, label).withColumn("cell", F.concat_ws("_", *keys))
+    bound = grid_cell_bound(cells_per_degree)
+    dealt = deal_folds(cells, "cell", folds, seed, bound)
+    return _join_folds(keyed, dealt.select(*keys, "cell", "fold"), keys, _bounded(bound)).drop(*keys)
 
 
 def fold_balance(df: DataFrame, label: str, group: str = "cell") -> DataFrame:

@@ -36,8 +36,8 @@ def heat_tiles(points: DataFrame, zoom: int = ZOOM_HIGH) -> DataFrame:
     """
     located = points.select(
         F.lit(zoom).alias("z"),
-        required(tile_x("longitude", zoom), "longitude is NULL or NaN").alias("x"),
-        required(tile_y("latitude", zoom), "latitude is NULL or NaN").alias("y"),
+        required(tile_x("longitude", zoom), "longitude is NULL or NaN", "bigint").alias("x"),
+        required(tile_y("latitude", zoom), "latitude is NULL or NaN", "bigint").alias("y"),
         F.lit(1).cast("bigint").alias("points"),
         F.col("score").alias("score_sum"),
         F.col("score").alias("score_max"),

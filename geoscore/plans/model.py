@@ -151,9 +151,10 @@ def fit(
     require_columns(df, features)
     enable_checkpoints(df.sparkSession)
     pos_weight = positive_weight(df, label) if pos_weight is None else pos_weight
+    id_type = df.schema[row_id].dataType.simpleString()
     rows = prepare(
         df.select(
-            required(row_id, f"{row_id} is NULL").alias(row_id),
+            required(row_id, f"{row_id} is NULL", id_type).alias(row_id),
             *features,
             binary_label(label).cast("double").alias(LABEL_COL),
         ),

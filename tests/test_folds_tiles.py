@@ -70,7 +70,7 @@ def test_a_false_bound_fails(spark):
 
 def test_spatial_folds_refuse_bad_coordinates(spark):
     df = spark.createDataFrame([(91.0, 0.0, 1)], "latitude double, longitude double, y int")
-    with pytest.raises(Exception, match="coordinates"):
+    with pytest.raises(Exception, match="latitude is missing or off the globe"):
         folds.assign_spatial_folds(df, "latitude", "longitude", "y").collect()
 
 
