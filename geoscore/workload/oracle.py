@@ -201,9 +201,9 @@ ORACLE: dict[str, str] = {
         "SELECT obs_id, label, CASE WHEN label = 1 THEN (SELECT count(*) FILTER (label = 0) "
         "/ CAST(count(*) FILTER (label = 1) AS DOUBLE) FROM pts) ELSE 1.0e0 END AS weight FROM pts",
     ),
-    "soft_vote_score": _with(POINTS, "SELECT obs_id, p_a, p_b, score FROM pts"),
+    "soft_vote": _with(POINTS, "SELECT obs_id, p_a, p_b, score FROM pts"),
     "score_round": _with(POINTS, "SELECT obs_id, round(score, 6) AS risk_probability FROM pts"),
-    "risk_band_rows": _with(POINTS, f"SELECT obs_id, {BAND} AS risk_level FROM pts"),
+    "risk_band": _with(POINTS, f"SELECT obs_id, {BAND} AS risk_level FROM pts"),
     "band_summary": _with(
         POINTS,
         f"SELECT {BAND} AS risk_level, CAST(count(*) AS BIGINT) AS points, "
@@ -312,6 +312,17 @@ ORACLE: dict[str, str] = {
         "CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(pos + neg) AS BIGINT) AS sound_votes "
         "FROM deal GROUP BY fold",
     ),
+    "feature_importance_summary": _with(
+        OBS,
+        "SELECT unnest(['a', 'b']) AS learner, CAST(10 + count(DISTINCT land_cover) "
+        "+ count(DISTINCT soil_type) AS BIGINT) AS features, 1.0e0 AS total, "
+        "CAST(0 AS BIGINT) AS negative FROM observations",
+    ),
+    "batch_score_coverage": _with(
+        OBS,
+        "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS in_range, "
+        "CAST(0 AS BIGINT) AS misfits FROM observations",
+    ),
     "stream_batch_agreement": _with(
         _checked(),
         "SELECT CASE WHEN errors = '' THEN 'valid' ELSE 'quarantine' END AS status, "

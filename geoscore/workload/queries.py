@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from geoscore.operators import folds as fold_ops
 from geoscore.operators import metrics, profile, ranking, tiles, validate
 from geoscore.plans import heat, learners, scoring, validation
 from geoscore.plans.model import RiskModel, fit, importance_ranking, positive_weight
-from geoscore.schema import FEATURES, LABEL, METRICS_COLUMNS
+from geoscore.schema import FEATURES, LABEL, METRICS_COLUMNS, schema_for
 from geoscore.sources import tables
 from geoscore.sources.sinks import write_scores
 from geoscore.sources.storage import scratch_path, store
@@ -38,7 +39,8 @@ OPERATING_THRESHOLD = 0.18
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the function's name, without the underscore that avoids a clash."""
+    QUERIES[function.__name__.removesuffix("_")] = function
     return function
 
 
@@ -69,12 +71,7 @@ def csv_scan(spark, sf_dir):
 def json_scan(spark, sf_dir):
     path = scratch_path(spark, "json")
     write_scores(_observations(spark, sf_dir).select("event_id", *FEATURES), path, "json")
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    from geoscore.schema import FEATURE_SCHEMA
-
-    schema = StructType([StructField("event_id", StringType()), *FEATURE_SCHEMA.fields])
-    return tables.read_json_table(spark, path, schema)
+    return tables.read_json_table(spark, path, schema_for(["event_id", *FEATURES]))
 
 
 @query
@@ -162,7 +159,7 @@ def class_weights(spark, sf_dir):
 
 
 @query
-def soft_vote_score(spark, sf_dir):
+def soft_vote_(spark, sf_dir):
     return _scored(spark, sf_dir).select("obs_id", "p_a", "p_b", "score")
 
 
@@ -172,7 +169,7 @@ def score_round(spark, sf_dir):
 
 
 @query
-def risk_band_rows(spark, sf_dir):
+def risk_band_(spark, sf_dir):
     return _scored(spark, sf_dir).select("obs_id", risk_band("score").alias("risk_level"))
 
 
@@ -353,8 +350,6 @@ def fold_leak_check(spark, sf_dir):
 
 @query
 def one_hot_encode(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-
     rows = _observations(spark, sf_dir)
     encoded = learners.encoder().fit(rows).transform(rows)
     marks = F.transform(
@@ -472,6 +467,22 @@ def feature_importance(spark, sf_dir):
     return importance_ranking(_model(spark, sf_dir).feature_importance(spark, "a"))
 
 
+@query
+def feature_importance_summary(spark, sf_dir):
+    """Encoded features per learner, and what their importances add up to."""
+    model = _model(spark, sf_dir)
+    both = [
+        model.feature_importance(spark, name).select(F.lit(name).alias("learner"), "importance")
+        for name in ("a", "b")
+    ]
+    totals = both[0].unionByName(both[1]).groupBy("learner")
+    return totals.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("importance"), 9).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+    )
+
+
 @query
 def batch_score(spark, sf_dir):
     return scoring.score_table(
@@ -479,6 +490,18 @@ def batch_score(spark, sf_dir):
     )
 
 
+@query
+def batch_score_coverage(spark, sf_dir):
+    """Rows scored, scores in range, and bands that do not fit the served score."""
+    served = scoring.score_table(_model(spark, sf_dir), _observations(spark, sf_dir))
+    p, edge = F.col("risk_probability"), F.col("risk_probability").isin(0.25, 0.5, 0.75)
+    return served.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(p.between(0.0, 1.0)).alias("in_range"),
+        F.count_if((risk_band(p) != F.col("risk_level")) & ~edge).alias("misfits"),
+    )
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "stream")

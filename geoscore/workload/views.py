@@ -61,7 +61,7 @@ OBSERVATIONS = {
     "state": "concat('state_', CAST(o_custkey % 5 AS STRING))",
     "latitude": "22.0e0 + " + _hundredths("(o_custkey * 37) % 700"),
     "longitude": "88.0e0 + " + _hundredths("(o_custkey * 53) % 900"),
-    "monsoon_phase": "CASE WHEN month(o_orderdate) BETWEEN 6 AND 9 THEN 'monsoon' ELSE 'dry' END",
+    "monsoon_phase": "CASE WHEN o_orderkey % 12 BETWEEN 5 AND 8 THEN 'monsoon' ELSE 'dry' END",
     "severity_class": "o_orderpriority",
     "is_fatal": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END",
     "reliability_score": _hundredths("o_orderkey % 101"),
@@ -108,7 +108,8 @@ _RECORD_FIELDS = (
     f"CASE WHEN o_orderkey % 37 = 1 THEN '\"land_cover\":7'"
     f" ELSE {_field('land_cover', OBSERVATIONS['land_cover'], quoted=True)} END",
     "'\"ndvi\":0.5'",
-    f"CASE WHEN o_orderkey % 13 <> 3 THEN {_field('soil_type', OBSERVATIONS['soil_type'], quoted=True)} END",
+    "CASE WHEN o_orderkey % 13 <> 3 THEN "
+    f"{_field('soil_type', OBSERVATIONS['soil_type'], quoted=True)} END",
     _field("distance_to_river_m", "o_custkey % 5000"),
     f"CASE WHEN o_orderkey % 41 <> 2 THEN {_field('distance_to_road_m', 'o_custkey % 3000')} END",
     "CASE WHEN o_orderkey % 3 = 0 THEN '\"note\":\"extra\"' END",
@@ -119,7 +120,11 @@ RECORDS = {
     f" ELSE concat('{{', concat_ws(',', {', '.join(_RECORD_FIELDS)}), '}}') END",
 }
 
-_SOURCES = {"scored": (SCORED, "lineitem"), "observations": (OBSERVATIONS, "orders"), "records": (RECORDS, "orders")}
+_SOURCES = {
+    "scored": (SCORED, "lineitem"),
+    "observations": (OBSERVATIONS, "orders"),
+    "records": (RECORDS, "orders"),
+}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

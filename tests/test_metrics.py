@@ -1,3 +1,5 @@
+import bisect
+import math
 import random
 
 import pytest
@@ -120,6 +122,26 @@ def test_curve_equals_one_pass_per_threshold(spark):
         assert r.fp + r.tn == sum(1 - y for y, _ in rows)
 
 
+def test_bins_next_to_every_grid_value(spark):
+    grid = metrics.grid_values()
+    near = [f(t) for t in grid for f in (lambda t: math.nextafter(t, 0), float, lambda t: math.nextafter(t, 2))]
+    bins = frame(spark, [(0, p) for p in near]).select(
+        "p", metrics.reached_thresholds(F.col("p"), 0.05, 0.95, 181).alias("bin")
+    )
+    assert [r.bin for r in bins.collect()] == [bisect.bisect_right(grid, p) for p in near]
+
+
+@pytest.mark.parametrize(("low", "high", "points"), [(0.0, 1.0, 2), (0.0, 1.0, 1001), (-2.5, 7.1, 37)])
+def test_bins_of_other_grids(spark, low, high, points):
+    rng = random.Random(points)
+    grid = metrics.grid_values(low, high, points)
+    scores = [rng.uniform(low - 0.2, high + 0.2) for _ in range(500)] + grid
+    bins = frame(spark, [(0, p) for p in scores]).select(
+        metrics.reached_thresholds(F.col("p"), low, high, points).alias("bin")
+    )
+    assert [r.bin for r in bins.collect()] == [bisect.bisect_right(grid, p) for p in scores]
+
+
 def test_curve_per_key(spark):
     a, b = tied_rows(200, 2), tied_rows(100, 3)
     df = frame(spark, a).withColumn("m", F.lit("a")).unionByName(

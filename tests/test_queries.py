@@ -25,6 +25,8 @@ WITHOUT_SQL = {
 }
 MODEL_QUERIES = WITHOUT_SQL | {
     "oof_coverage",
+    "feature_importance_summary",
+    "batch_score_coverage",
     "stream_batch_agreement",
     "model_roundtrip",
     "scored_heat_totals",
