@@ -33,6 +33,9 @@ ROW_SHARE_A, ROW_SHARE_B = 0.85, 1.0
 COLUMN_SHARE = "0.85"
 LEAF_ROWS_A, LEAF_ROWS_B = 2, 20
 
+# Rows per training task: few while that only adds parallelism, then as many as fit in memory.
+LAYOUT_FEW_ROWS, LAYOUT_SPREAD, LAYOUT_MOST_ROWS = 10_000, 2_000, 2_000_000
+
 FEATURES_COL, LABEL_COL, WEIGHT_COL = "features", "label", "weight"
 MODEL_CLASSES = {"boosted": GBTClassificationModel, "forest": RandomForestClassificationModel}
 
@@ -163,7 +166,16 @@ def encoded_names(fitted: PipelineModel) -> list[str]:
     return names
 
 
-def stable_layout(df: DataFrame, row_id: str, tasks: int | None = None) -> DataFrame:
-    """Rows in a layout that depends on their ids alone, so that seeded sampling repeats."""
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, row_id).sortWithinPartitions(row_id)
+def layout_tasks(rows: int) -> int:
+    """Training tasks for a row count: small ones at first, then at most LAYOUT_MOST_ROWS each."""
+    spread = min(-(-rows // LAYOUT_FEW_ROWS), LAYOUT_SPREAD)
+    return max(1, spread, -(-rows // LAYOUT_MOST_ROWS))
+
+
+def stable_layout(df: DataFrame, row_id: str, rows: int) -> DataFrame:
+    """Rows in a layout that depends on their ids and number alone.
+
+    Seeded sampling follows the layout, so equal data then gives equal trees on
+    any cluster, whatever its shuffle settings. Hashed ids keep the tasks even.
+    """
+    return df.repartition(layout_tasks(rows), row_id).sortWithinPartitions(row_id)

@@ -36,9 +36,15 @@ from geoscore.sources.storage import enable_checkpoints
 SCORE = "score"
 
 
+def _balance(df: DataFrame, label: str) -> tuple[int, float | None]:
+    """Row count and class ratio: one aggregate row, read back by the driver."""
+    row = class_balance(df, label).first()
+    return row["neg_rows"] + row["pos_rows"], row["pos_weight"]
+
+
 def positive_weight(df: DataFrame, label: str = LABEL) -> float:
-    """Negative-to-positive ratio, one number read back from one aggregate row."""
-    ratio = class_balance(df, label).first()["pos_weight"]
+    """Negative-to-positive ratio of a table."""
+    _, ratio = _balance(df, label)
     if ratio is None:
         raise ValueError("no positive rows: the class weight is undefined")
     return ratio
@@ -145,12 +151,15 @@ def fit(
     """Fit the encoder, then every learner on the same encoded rows.
 
     ``pos_weight`` defaults to the class ratio of ``df``. Rows are first laid out
-    by id, so equal seeds and task counts give equal trees.
+    by id, so equal seeds give equal trees.
     """
     guard_features(features)
     require_columns(df, features)
     enable_checkpoints(df.sparkSession)
-    pos_weight = positive_weight(df, label) if pos_weight is None else pos_weight
+    count, ratio = _balance(df, label)
+    if pos_weight is None and ratio is None:
+        raise ValueError("no positive rows: the class weight is undefined")
+    pos_weight = ratio if pos_weight is None else pos_weight
     id_type = df.schema[row_id].dataType.simpleString()
     rows = prepare(
         df.select(
@@ -162,9 +171,8 @@ def fit(
         missing_indicators,
     ).withColumn(WEIGHT_COL, class_weight(LABEL_COL, pos_weight))
     fitted_encoder = encoder(features, missing_indicators=missing_indicators).fit(rows)
-    encoded = stable_layout(
-        fitted_encoder.transform(rows).select(row_id, FEATURES_COL, LABEL_COL, WEIGHT_COL), row_id
-    )
+    encoded = fitted_encoder.transform(rows).select(row_id, FEATURES_COL, LABEL_COL, WEIGHT_COL)
+    encoded = stable_layout(encoded, row_id, count)
     # Encoded once for all learners; a lost block is rebuilt from the source rows.
     encoded = encoded.persist()
     try:

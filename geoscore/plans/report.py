@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoscore.functions.scores import BAND_EDGES, at_or_above
+from geoscore.functions.spatial import CELLS_PER_DEGREE
 from geoscore.operators.folds import FOLDS, SEED, assign_spatial_folds
 from geoscore.operators.metrics import (
     best_threshold,
@@ -65,8 +66,14 @@ def run_report(
     label: str = LABEL,
     state: str = "state",
     source: str = "source",
+    folds: int = FOLDS,
+    project: str | None = None,
+    limitations: Sequence[str] = (),
 ) -> DataFrame:
-    """One nested row: model, dataset and validation facts, features and bands."""
+    """One nested row: model, dataset and validation facts, features and bands.
+
+    ``project`` and ``limitations`` are the author's own words, carried along.
+    """
     curve = threshold_curve(oof, SCORE, label)
     best = metrics_record(oof, SCORE, label)
     recall_first = best_threshold(curve, "f2").select(
@@ -84,6 +91,7 @@ def run_report(
     for (name, low), high in zip(BAND_EDGES, edges[1:]):
         bands += [F.lit(name), F.array(F.lit(low), F.lit(high))]
     return facts.select(
+        F.lit(project).cast("string").alias("project"),
         F.struct(
             *[F.lit(w).alias(f"{name.removeprefix('p_')}_weight") for name, w in votes.items()],
             "roc_auc",
@@ -98,6 +106,8 @@ def run_report(
             "rows", "positive_rows", "negative_rows", "source_rows", "states_present"
         ).alias("dataset"),
         F.struct(
+            F.lit(f"{folds}-fold stratified grouped").alias("method"),
+            F.lit(f"{1 / CELLS_PER_DEGREE} degree latitude/longitude cells").alias("grouping"),
             "confusion_matrix",
             "high_recall_f2_threshold",
             "high_recall_f2",
@@ -107,6 +117,7 @@ def run_report(
         F.array(*[F.lit(n) for n in FEATURES]).alias("features"),
         F.array(*[F.lit(n) for n in EXCLUDED]).alias("excluded_from_training"),
         F.create_map(*bands).alias("risk_bands"),
+        F.array(*[F.lit(text) for text in limitations]).cast("array<string>").alias("limitations"),
     )
 
 
@@ -119,6 +130,8 @@ def train_and_evaluate(
     seed: int | None = SEED,
     importance_of: str | None = None,
     parallelism: int = 2,
+    project: str | None = None,
+    limitations: Sequence[str] = (),
 ) -> Evaluation:
     """Folds, out-of-fold scores, metrics and reports, then the final fit on all rows."""
     folded = assign_spatial_folds(observations, LATITUDE, LONGITUDE, label, folds, seed)
@@ -139,7 +152,15 @@ def train_and_evaluate(
                 observations.sparkSession, importance_of or learners[0].name
             )
         ),
-        report=run_report(oof, observations, model.votes, label),
+        report=run_report(
+            oof,
+            observations,
+            model.votes,
+            label,
+            folds=folds,
+            project=project,
+            limitations=limitations,
+        ),
     )
 
 

@@ -406,7 +406,9 @@ def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates' out-of-fold scores, fitted on shared folds and encodings."""
 
     def make():
-        scores = validation.out_of_fold(_folded(spark, sf_dir), "event_id", _candidates())
+        scores = validation.out_of_fold(
+            _folded(spark, sf_dir), "event_id", _candidates(), parallelism=fold_ops.FOLDS
+        )
         return store(scores, "oof")
 
     return _once(spark, sf_dir, "oof", make)

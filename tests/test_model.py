@@ -31,7 +31,9 @@ def evaluation(observations):
         learners.boosted_b(ROUNDS),
         learners.forest(trees=3, depth=3),
     ]
-    return report.train_and_evaluate(observations, "event_id", candidates)
+    return report.train_and_evaluate(
+        observations, "event_id", candidates, parallelism=5, limitations=["derived rows"]
+    )
 
 
 def test_published_sample_scores_in_range(spark, fitted, sample_row):
@@ -114,6 +116,27 @@ def test_equal_seeds_give_equal_trees(observations):
     assert trees[0] == trees[1]
 
 
+def test_trees_do_not_depend_on_shuffle_settings(spark, observations):
+    trees = []
+    for tasks in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        fitted = model.fit(observations, "event_id", [learners.boosted_a(ROUNDS)])
+        trees.append(fitted.learners[0].model.toDebugString.split("\n", 1)[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert trees[0] == trees[1]
+
+
+def test_layout_grows_with_the_rows():
+    assert [learners.layout_tasks(n) for n in (0, 1, 10_001, 150_000, 10**8, 10**11)] == [
+        1,
+        1,
+        2,
+        15,
+        2_000,
+        50_000,
+    ]
+
+
 def test_learner_parameters():
     a, b = learners.boosted_a(), learners.boosted_b()
     assert (a.vote, b.vote) == (0.30, 0.70)
@@ -171,6 +194,9 @@ def test_reports(spark, observations, evaluation, tmp_path):
     assert tuple(metrics) == METRICS_COLUMNS
     nested = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/report").collect()))
     assert nested["model"]["a_weight"] == 0.3 and nested["model"]["threshold"] == metrics["threshold"]
+    assert nested["project"] is None and nested["limitations"] == ["derived rows"]
+    assert nested["validation"]["method"] == "5-fold stratified grouped"
+    assert nested["validation"]["grouping"].startswith("0.5 degree")
     assert nested["dataset"]["rows"] == observations.count()
     assert nested["dataset"]["states_present"] == [f"state_{i}" for i in range(5)]
     (tn, fp), (fn, tp) = nested["validation"]["confusion_matrix"]
