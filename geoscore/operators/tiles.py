@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoscore.functions.scores import required
+from geoscore.functions.scores import required, required_score
 from geoscore.functions.spatial import tile_x, tile_y
 
 # The zoom the map opens at and the deepest zoom it draws.
@@ -39,8 +39,8 @@ def heat_tiles(points: DataFrame, zoom: int = ZOOM_HIGH) -> DataFrame:
         required(tile_x("longitude", zoom), "longitude is NULL or NaN", "bigint").alias("x"),
         required(tile_y("latitude", zoom), "latitude is NULL or NaN", "bigint").alias("y"),
         F.lit(1).cast("bigint").alias("points"),
-        F.col("score").alias("score_sum"),
-        F.col("score").alias("score_max"),
+        required_score("score").alias("score_sum"),
+        required_score("score").alias("score_max"),
     )
     return _tile_stats(located.groupBy("z", "x", "y"))
 

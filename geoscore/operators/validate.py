@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoscore.functions.once import computed_once
 from geoscore.functions.scores import binary_label
 from geoscore.schema import CATEGORICAL, EXCLUDED, FEATURES, LABEL
 
@@ -76,28 +77,16 @@ def _text_is_number(text: Column) -> Column:
 def _with_errors(
     df: DataFrame, keep: Sequence[str], typed: Mapping[str, Column], faults: Mapping[str, Column]
 ) -> DataFrame:
-    """``keep`` columns, typed fields, and ``errors`` with each field's fault, if any.
-
-    The one-row ``inline`` keeps a later filter on ``errors`` above the typed
-    fields: Spark would otherwise repeat all their parsing inside the filter.
-    """
+    """``keep`` columns, typed fields, and ``errors`` with each field's fault, if any."""
     values = df.select(
         *keep,
         *[value.alias(name) for name, value in typed.items()],
         *[fault.alias(f"_fault_{name}") for name, fault in faults.items()],
     )
-    fields = [*typed, *[f"_fault_{name}" for name in faults]]
-    settled = values.select(*keep, F.inline(F.array(F.struct(*fields))))
-    errors = F.array_compact(
-        F.array(
-            *[
-                # NULL, and so left out, where the field has no fault.
-                F.concat(F.lit(f"{name}: "), f"_fault_{name}")
-                for name in faults
-            ]
-        )
-    )
-    return settled.select(*keep, *typed, errors.alias("errors"))
+    settled = computed_once(values, [*typed, *[f"_fault_{name}" for name in faults]])
+    # NULL, and so left out, where the field has no fault.
+    listed = [F.concat(F.lit(f"{name}: "), F.col(f"_fault_{name}")) for name in faults]
+    return settled.select(*keep, *typed, F.array_compact(F.array(*listed)).alias("errors"))
 
 
 def check_records(

@@ -19,7 +19,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoscore.operators.folds import SEED
@@ -172,10 +172,19 @@ def layout_tasks(rows: int) -> int:
     return max(1, spread, -(-rows // LAYOUT_MOST_ROWS))
 
 
+SPREAD_COL = "_spread"
+
+
+def spread_key(columns: Sequence[str]) -> Column:
+    """Hash of a row's id and content: even over tasks even where an id repeats a lot."""
+    return F.xxhash64(*columns).alias(SPREAD_COL)
+
+
 def stable_layout(df: DataFrame, row_id: str, rows: int) -> DataFrame:
-    """Rows in a layout that depends on their ids and number alone.
+    """Rows in a layout that depends on their content and number alone.
 
     Seeded sampling follows the layout, so equal data then gives equal trees on
-    any cluster, whatever its shuffle settings. Hashed ids keep the tasks even.
+    any cluster, whatever its shuffle settings.
     """
-    return df.repartition(layout_tasks(rows), row_id).sortWithinPartitions(row_id)
+    tasks = layout_tasks(rows)
+    return df.repartition(tasks, SPREAD_COL).sortWithinPartitions(SPREAD_COL, row_id)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoscore.functions.once import computed_once
 from geoscore.functions.scores import (
     binary_label,
     class_weight,
@@ -23,11 +24,13 @@ from geoscore.plans.learners import (
     FEATURES_COL,
     LABEL_COL,
     MODEL_CLASSES,
+    SPREAD_COL,
     WEIGHT_COL,
     Learner,
     encoded_names,
     encoder,
     prepare,
+    spread_key,
     stable_layout,
 )
 from geoscore.schema import FEATURES, LABEL
@@ -85,6 +88,7 @@ class RiskModel:
             for m in self.learners
         ]
         out = scored.select(*df.columns, *probabilities)
+        out = computed_once(out, [f"p_{m.name}" for m in self.learners])
         return out.withColumn(SCORE, soft_vote(self.votes)) if self.votes else out
 
     def feature_importance(self, spark: SparkSession, learner: str) -> DataFrame:
@@ -151,7 +155,7 @@ def fit(
     """Fit the encoder, then every learner on the same encoded rows.
 
     ``pos_weight`` defaults to the class ratio of ``df``. Rows are first laid out
-    by id, so equal seeds give equal trees.
+    by content, so equal seeds give equal trees.
     """
     guard_features(features)
     require_columns(df, features)
@@ -169,9 +173,15 @@ def fit(
         ),
         features,
         missing_indicators,
-    ).withColumn(WEIGHT_COL, class_weight(LABEL_COL, pos_weight))
+    ).select(
+        "*",
+        class_weight(LABEL_COL, pos_weight).alias(WEIGHT_COL),
+        spread_key([row_id, *features, LABEL_COL]),
+    )
     fitted_encoder = encoder(features, missing_indicators=missing_indicators).fit(rows)
-    encoded = fitted_encoder.transform(rows).select(row_id, FEATURES_COL, LABEL_COL, WEIGHT_COL)
+    encoded = fitted_encoder.transform(rows).select(
+        row_id, SPREAD_COL, FEATURES_COL, LABEL_COL, WEIGHT_COL
+    )
     encoded = stable_layout(encoded, row_id, count)
     # Encoded once for all learners; a lost block is rebuilt from the source rows.
     encoded = encoded.persist()

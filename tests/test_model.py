@@ -54,6 +54,18 @@ def test_vote_is_between_its_members(observations, fitted):
     assert scored.columns == [*observations.columns, "p_a", "p_b", "score"]
 
 
+def test_filters_on_scores_do_not_score_twice(observations, fitted):
+    def trees(frame):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("UDF(UDF(features")
+
+    scored = scoring.score_table(fitted, observations, keep=["event_id"])
+    once = trees(scored)
+    critical = scored.filter("risk_level = 'CRITICAL' and event_id <> '1'")
+    assert trees(critical) == once == 2
+    assert critical.count() == sum(r.risk_level == "CRITICAL" for r in scored.collect() if r.event_id != "1")
+
+
 def test_encoder_layout(observations, fitted):
     names = learners.encoded_names(fitted.encoder)
     assert len(names) == 22
@@ -126,6 +138,14 @@ def test_trees_do_not_depend_on_shuffle_settings(spark, observations):
     assert trees[0] == trees[1]
 
 
+def test_layout_stays_even_when_ids_repeat(observations):
+    frame = observations.withColumn("event_id", F.lit("same"))
+    keyed = frame.select("*", learners.spread_key(["event_id", *FEATURES]))
+    laid = learners.stable_layout(keyed, "event_id", 40_000).groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in laid.collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * observations.count() / 4
+
+
 def test_layout_grows_with_the_rows():
     assert [learners.layout_tasks(n) for n in (0, 1, 10_001, 150_000, 10**8, 10**11)] == [
         1,
