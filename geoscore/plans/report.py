@@ -19,6 +19,7 @@ from geoscore.operators.metrics import (
     threshold_curve,
 )
 from geoscore.operators.profile import dataset_profile, metrics_record, model_comparison, to_long
+from geoscore.operators.validate import require_columns
 from geoscore.plans.learners import Learner
 from geoscore.plans.model import SCORE, RiskModel, fit, importance_ranking
 from geoscore.plans.validation import out_of_fold
@@ -133,7 +134,15 @@ def train_and_evaluate(
     project: str | None = None,
     limitations: Sequence[str] = (),
 ) -> Evaluation:
-    """Folds, out-of-fold scores, metrics and reports, then the final fit on all rows."""
+    """Folds, out-of-fold scores, metrics and reports, then the final fit on all rows.
+
+    The columns that are needed are stored first, so that a text source is parsed
+    once and not by every fit.
+    """
+    needed = [row_id, label, LATITUDE, LONGITUDE, "state", "source", *FEATURES]
+    observations = store(
+        require_columns(observations, needed).select(*dict.fromkeys(needed)), "observations"
+    )
     folded = assign_spatial_folds(observations, LATITUDE, LONGITUDE, label, folds, seed)
     oof = store(
         out_of_fold(folded, row_id, learners, label, folds, parallelism=parallelism), "oof"
@@ -148,9 +157,7 @@ def train_and_evaluate(
         curve=threshold_curve(oof, SCORE, label).select(*THRESHOLD_CURVE_COLUMNS),
         comparison=model_comparison(to_long(oof, names, label), label, {VOTE: shares}),
         importance=importance_ranking(
-            model.feature_importance(
-                observations.sparkSession, importance_of or learners[0].name
-            )
+            model.feature_importance(observations.sparkSession, importance_of or learners[0].name)
         ),
         report=run_report(
             oof,
