@@ -8,11 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words: the six ASCII white-space characters.
-SPACES = " \t\n\x0b\x0c\r"
-#: Maps A-Z to a-z and leaves every other letter alone.
-LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,16 +38,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[
             yield batch.slice(start, rows)
 
 
-def words(text: str) -> list[str]:
-    """Runs of anything but ASCII white space, A-Z in lower case."""
-    text = text.translate(LOWER) if not text.isascii() else text.lower()
-    # str.split() also cuts at other white space, so those stay inside words.
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    for c in SPACES[1:]:
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def words(text: bytes) -> list[bytes]:
+    """Words of UTF-8 text: runs of anything but ASCII white space, A-Z in lower case.
+
+    ``bytes`` methods know ASCII alone, which is what is wanted here.
+    """
+    return text.lower().split()
+
+
+def raw(column: pa.Array) -> list[bytes]:
+    """A text column as UTF-8 bytes."""
+    return column.cast(pa.binary()).to_pylist()
 
 
 def batch(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import pieces
+from geoscore.llm import pieces, toxicity
 from geoscore.llm.common import table
 
 
@@ -21,7 +21,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = toxicity.contract_labels(table(spark, sf_dir, "labels"))
+    return toxicity.predictions(toxicity.score(docs, toxicity.fit(docs, labels)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLE: dict[str, str] = {}
