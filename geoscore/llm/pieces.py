@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from geoscore.llm.common import rows_of, texts
 
 SPACE = "▁"
 #: Pieces remembered by one task before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Text bytes per batch.
 BATCH_BYTES = 2 << 20
 #: Pieces up to this length merge in step, longer ones with a heap.
@@ -39,13 +41,18 @@ IN_STEP = 24
 #: A mark that no piece of the vocabulary has after a letter.
 MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,]")
 NO_PAIR = np.iinfo(np.int32).max
+#: In place of an id: a character that no piece has.
+UNKNOWN = -2
+#: A run of spaces with what follows, or a line's first word.
+RUNS = re.compile(r"▁+[^▁\n]*|\n[^▁\n]*")
 
 
 class Vocabulary:
     """The merge table of a model file with the settings this operator covers."""
 
     def __init__(self, model_path: str) -> None:
-        self.library = model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.path = model_path
+        model = self.library()
         size = model.get_piece_size()
         plain = [
             i
@@ -71,6 +78,16 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_values = np.array([pairs[k] for k in sorted(pairs)], np.int32)
 
+        self.spoken = [t.replace(SPACE, " ") for t in self.text]
+        self.id_of = np.full(0x110000, UNKNOWN, np.int32)
+        for piece, (_, i) in self.rank.items():
+            if len(piece) == 1:
+                self.id_of[ord(piece)] = i
+        self.id_of[0] = -1  # the filling of short rows; a text with it merges with a heap
+
+    def library(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece by the agenda."""
         rank = self.rank
@@ -116,43 +133,34 @@ class Vocabulary:
     def merge_in_step(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces of like length: each step takes every piece's best pair."""
         width = max(map(len, pieces)) + 1
-        single = self.rank
-        # Characters outside the vocabulary are below -1 here and come back as bytes.
-        symbols = np.full((len(pieces), width), -1, np.int32)
-        for r, piece in enumerate(pieces):
-            symbols[r, : len(piece)] = [
-                single[c][1] if c in single else -2 - ord(c) for c in piece
-            ]
+        points = np.array(pieces, f"U{width}").view(np.uint32).reshape(len(pieces), width)
+        symbols = self.id_of[points]
         order, merged = self._pairs(symbols[:, :-1], symbols[:, 1:])
         live = np.arange(len(pieces))
+        columns = np.arange(width)[None, :]
         while True:
             best = order[live].argmin(1)
-            live, best = (x[order[live, best] < NO_PAIR] for x in (live, best))
+            more = order[live, best] < NO_PAIR
+            live, best = live[more], best[more]
             if not len(live):
                 break
-            columns = np.arange(width)[None, :]
-            source = np.minimum(columns + (columns > best[:, None]), width - 1)
             new = merged[live, best]
-            rows = np.take_along_axis(symbols[live], source, 1)
-            rows[np.arange(len(live)), best] = new
-            symbols[live] = rows
-            source = np.minimum(columns[:, :-1] + (columns[:, :-1] > best[:, None]), width - 2)
-            order[live] = np.take_along_axis(order[live], source, 1)
-            merged[live] = np.take_along_axis(merged[live], source, 1)
             n = np.arange(len(live))
+            source = np.minimum(columns + (columns > best[:, None]), width - 1)
+            rows = symbols[live[:, None], source]
+            rows[n, best] = new
+            symbols[live] = rows
+            source = np.minimum(source[:, :-1], width - 2)
+            order[live], merged[live] = order[live[:, None], source], merged[live[:, None], source]
             for at in (best, np.maximum(best - 1, 0)):
                 order[live, at], merged[live, at] = self._pairs(rows[n, at], rows[n, at + 1])
-        return [self._known(row) for row in symbols.tolist()]
-
-    def _known(self, row: list[int]) -> list[int]:
-        ids = []
-        for i in row:
-            if i >= 0:
-                ids.append(i)
-            elif i == -1:
-                break
-            else:
-                ids.extend(self.bytes[b] for b in chr(-2 - i).encode())
+        odd = (symbols == UNKNOWN).any(1)
+        ends = np.cumsum((symbols != -1).sum(1)).tolist()
+        flat = symbols[symbols != -1].tolist()
+        ids = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for r in np.flatnonzero(odd):
+            # Each unknown character stands where it stood in the piece: replay it as bytes.
+            ids[r] = self.merge(pieces[r])
         return ids
 
     def _ids(self, symbols: list[str | None]) -> list[int]:
@@ -169,6 +177,8 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, the space before the first word included."""
+        if not any(i in self.byte_of for i in ids):
+            return "".join([self.spoken[i] for i in ids])
         out, pending = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -178,84 +188,83 @@ class Vocabulary:
             if pending:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
-            out.append(self.text[i])
+            out.append(self.spoken[i])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")
+        return "".join(out)
+
+    def check(self, found: dict[str, list[int]], library: sentencepiece.SentencePieceProcessor) -> None:
+        """Holds pieces against the library, which puts a space before each.
 
-    def check(self, found: dict[str, list[int]]) -> None:
-        """Holds pieces against the library; a piece's own first space is the library's prefix."""
-        pieces = [p for p in found if p.startswith(SPACE)]
-        theirs = self.library.encode([p[1:] for p in pieces if p != SPACE], num_threads=1)
-        for piece, ids in zip((p for p in pieces if p != SPACE), theirs):
-            if ids != found[piece]:
-                raise ValueError(f"{piece!r}: {found[piece]} here, {ids} in the library")
+        A piece's own first space is that space; before a line's first word it stands alone.
+        """
+        space = self.rank[SPACE][1]
+        pieces = [p for p in found if p[0] == SPACE and len(p) > 1]
+        lines = [p for p in found if p[0] == "\n"]
+        theirs = library.encode([p[1:] for p in pieces] + lines, num_threads=1)
+        ours = [found[p] for p in pieces] + [[space, *found[p]] for p in lines]
+        if theirs != ours:
+            at = next(i for i, (a, b) in enumerate(zip(theirs, ours)) if a != b)
+            raise ValueError(f"{[*pieces, *lines][at]!r}: {ours[at]} here, {theirs[at]} in the library")
 
 
 def cut(text: str) -> list[str]:
-    """Pieces of a text: runs of spaces with what follows, and lines' first words.
+    """Pieces of a text: words with the spaces before them, and lines' first words.
 
-    The first piece starts with the space that the model puts before a text.
+    The first piece starts with the space that the model puts before a text. A word after
+    exactly one space goes without it; ``piece_of`` puts it back.
     """
     if not text:
         return []
-    marked = (" " + text).replace(" ", SPACE)
-    lines = "\n" in marked and "\x00" not in marked
-    if lines:
-        marked = marked.replace("\n", SPACE + "\x00\n")
-    parts = marked.split(SPACE)[1:]
-    pieces, spaces = [], 0
-    for part in parts:
-        if not part:
-            spaces += 1
-        elif lines and part[0] == "\x00":
-            if spaces:
-                pieces.append(SPACE * spaces)
-                spaces = 0
-            pieces.append(part[1:])
-        elif spaces:
-            pieces.append(SPACE * (spaces + 1) + part)
-            spaces = 0
-        else:
-            pieces.append(SPACE + part)
-    if spaces:
-        pieces.append(SPACE * spaces)
-    return pieces
+    plain = not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text)
+    if plain and SPACE not in text and "\x00" not in text:
+        return text.replace("\n", " \n").split(" ")
+    return RUNS.findall(SPACE + text.replace(" ", SPACE))
+
+
+def piece_of(key: str) -> str:
+    return key if key and key[0] in "\n▁" else SPACE + key
 
 
 def stems(piece: str) -> list[str]:
     """A piece cut once more, before marks that follow a letter."""
+    if "." not in piece and "," not in piece:
+        return [piece]
     starts = [0, *(m.start() for m in MARK.finditer(piece)), len(piece)]
     return [piece[a:b] for a, b in zip(starts, starts[1:])]
 
 
-class Memory(dict):
-    """Piece to (ids, text) of the pieces met; starts afresh beyond ``REMEMBERED``."""
+class Memory:
+    """Ids (as bytes) and text of the pieces met; starts afresh beyond ``REMEMBERED``."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.library = vocabulary, vocabulary.library()
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
+        self.stems: dict[str, list[int]] = {}
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, keys: Iterable[str]) -> None:
         """Merges what is new, checks it against the library and remembers it."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        vocabulary = self.vocabulary
-        parts = {p: stems(p) for p in set(pieces).difference(self)}
-        fresh = {s for each in parts.values() for s in each}.difference(self)
+        for kept in (self.ids, self.texts) if len(self.ids) > REMEMBERED else ():
+            kept.clear()
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        vocabulary, known = self.vocabulary, self.stems
+        parts = {k: stems(piece_of(k)) for k in set(keys).difference(self.ids)}
+        fresh = {s for each in parts.values() for s in each}.difference(known)
         by_length: dict[int, list[str]] = defaultdict(list)
         for piece in fresh:
-            by_length[-(-len(piece) // 4) if len(piece) <= IN_STEP else 0].append(piece)
+            short = len(piece) <= IN_STEP and "\x00" not in piece
+            by_length[-(-len(piece) // 4) if short else 0].append(piece)
         found = {p: vocabulary.merge(p) for p in by_length.pop(0, ())}
         for like in by_length.values():
             found.update(zip(like, vocabulary.merge_in_step(like)))
-        vocabulary.check(found)
-        for piece, ids in found.items():
-            self[piece] = (ids, vocabulary.decode(ids))
-        for piece, each in parts.items():
-            if len(each) > 1:
-                ids = [i for s in each for i in self[s][0]]
-                self[piece] = (ids, "".join([self[s][1] for s in each]))
+        vocabulary.check(found, self.library)
+        known.update(found)
+        for key, each in parts.items():
+            ids = known[each[0]] if len(each) == 1 else [i for s in each for i in known[s]]
+            self.ids[key] = array("i", ids).tobytes()
+            self.texts[key] = vocabulary.decode(ids)
 
 
 def encode_decode(
@@ -268,31 +277,28 @@ def encode_decode(
     """
     rows = texts(docs, id_col, text_col)
     id_type = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(
-        _encoder(model_path), f"`{id_col}` {id_type}, ids array<int>, decoded string"
-    )
+    # A vocabulary of fixed size.
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    return rows.mapInArrow(_encoder(shared), f"`{id_col}` {id_type}, ids array<int>, decoded string")
 
 
-def _encoder(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_path)
-        memory = Memory(vocabulary)
-        end = [vocabulary.end]
+        memory = Memory(shared.value)
+        end = array("i", [shared.value.end]).tobytes()
         for part in rows_of(batches, BATCH_BYTES):
-            flat: list[int] = []
-            offsets, decoded = [0], []
-            pieces = [cut(text) for text in part.column(1).to_pylist()]
-            memory.learn(p for each in pieces for p in each)
-            for each in pieces:
-                found = [memory[p] for p in each]
-                for ids, _ in found:
-                    flat += ids
-                flat += end
-                offsets.append(len(flat))
-                decoded.append("".join([t for _, t in found])[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            cuts = [cut(text) for text in part.column(1).to_pylist()]
+            memory.learn(chain.from_iterable(cuts))
+            ids = [b"".join(map(memory.ids.__getitem__, each)) + end for each in cuts]
+            decoded = ["".join(map(memory.texts.__getitem__, each))[1:] for each in cuts]
+            offsets = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(ids), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), lists, pa.array(decoded, pa.string())],
+                [
+                    part.column(0),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(decoded, pa.string()),
+                ],
                 names=[part.schema.names[0], "ids", "decoded"],
             )
 
