@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import pieces, toxicity
+from geoscore.llm import personal, pieces, toxicity
 from geoscore.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.find(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = toxicity.contract_labels(table(spark, sf_dir, "labels"))
@@ -28,6 +32,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_personal_data": op3_personal_data,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
 }
