@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import personal, pieces, toxicity
+from geoscore.llm import personal, pieces, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digests(personal.find(table(spark, sf_dir, "documents")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = toxicity.contract_labels(table(spark, sf_dir, "labels"))
@@ -33,6 +37,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
+    "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
 }
