@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import personal, pieces, secrets, toxicity
+from geoscore.llm import decontaminate, personal, pieces, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -35,10 +35,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(toxicity.score(docs, toxicity.fit(docs, labels)))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {}
