@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import decontaminate, personal, pieces, secrets, toxicity
+from geoscore.llm import decontaminate, neardup, personal, pieces, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digests(personal.find(table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_personal_data": op3_personal_data,
     "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
