@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import decontaminate, neardup, personal, pieces, secrets, toxicity
+from geoscore.llm import decontaminate, neardup, personal, pieces, repeats, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = toxicity.contract_labels(table(spark, sf_dir, "labels"))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_personal_data": op3_personal_data,
     "op4_secrets": op4_secrets,
+    "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
