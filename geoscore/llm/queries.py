@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoscore.llm import decontaminate, neardup, personal, pieces, repeats, secrets, toxicity
+from geoscore.llm import chat, decontaminate, neardup, neighbours, personal, pieces, repeats, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -16,6 +17,17 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation whose texts are control strings of a common template.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
+    more = spark.createDataFrame(rows, turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(more)))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.digests(pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
@@ -48,13 +60,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, items)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_personal_data": op3_personal_data,
     "op4_secrets": op4_secrets,
     "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLE: dict[str, str] = {}
