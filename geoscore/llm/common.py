@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,15 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), text.alias("text"))
 
 
+def share(df: DataFrame, value: Any) -> Callable[[], Any]:
+    """Sends a value of fixed size to every executor once; call the result there to get it.
+
+    Broadcasts pickle classes by name alone, so the value goes as bytes that hold them.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, every other letter as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscore.llm import chat, decontaminate, neardup, neighbours, personal, pieces, repeats, secrets, toxicity
+from geoscore.llm import chat, decontaminate, mixing, neardup, neighbours, personal, pieces, repeats, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -65,6 +69,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_personal_data": op3_personal_data,
     "op4_secrets": op4_secrets,
