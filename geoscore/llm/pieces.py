@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoscore.llm.common import rows_of, texts
+from geoscore.llm.common import rows_of, share, texts
 
 SPACE = "▁"
 #: Pieces remembered by one task before it starts afresh.
@@ -278,14 +278,15 @@ def encode_decode(
     rows = texts(docs, id_col, text_col)
     id_type = rows.schema[id_col].dataType.simpleString()
     # A vocabulary of fixed size.
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    shared = share(docs, Vocabulary(model_path))
     return rows.mapInArrow(_encoder(shared), f"`{id_col}` {id_type}, ids array<int>, decoded string")
 
 
 def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(shared.value)
-        end = array("i", [shared.value.end]).tobytes()
+        vocabulary = shared()
+        memory = Memory(vocabulary)
+        end = array("i", [vocabulary.end]).tobytes()
         for part in rows_of(batches, BATCH_BYTES):
             cuts = [cut(text) for text in part.column(1).to_pylist()]
             memory.learn(chain.from_iterable(cuts))
