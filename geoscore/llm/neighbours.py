@@ -29,7 +29,9 @@ K = 20
 #: Vectors of a shard and queries of a block, on average.
 SHARD = 16_384
 BLOCK = 1_024
-LEAF = 64
+LEAF = 256
+#: In place of an id that isn't there; the largest, so it loses every tie.
+NOBODY = np.iinfo(np.int64).max
 
 
 class Tree:
@@ -65,7 +67,7 @@ class Search:
         self.queries, self.own = queries, own
         self.square = (queries**2).sum(1)
         self.score = np.full((len(queries), self.k), -np.inf)
-        self.found = np.full((len(queries), self.k), np.iinfo(np.int64).max)
+        self.found = np.full((len(queries), self.k), NOBODY)
         self._visit(self.tree.root, np.arange(len(queries)))
         return self.score, self.found
 
@@ -97,17 +99,27 @@ class Search:
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         for start in range(0, len(rows), 1024):  # equal vectors can make a leaf large
             part = rows[start : start + 1024]
-            ids = self.ids[part]
-            # Not a matrix product: equal vectors must get equal sums wherever they are.
-            scores = np.einsum("qd,nd->qn", self.queries[q], self.tree.vectors[part], optimize=False)
-            scores[self.own[q][:, None] == ids[None, :]] = -np.inf
-            hit = np.flatnonzero(scores.max(1) >= self.score[q, -1])
-            if not len(hit):
+            ids, base = self.ids[part], self.tree.vectors[part]
+            # A matrix product finds what may be near enough; those are then summed one by
+            # one, since equal vectors must get equal sums wherever they stand.
+            rough = self.queries[q] @ base.T
+            worst = self.score[q, -1]
+            slack = 1e-9 * (1 + np.sqrt(self.square[q] * self.norm))
+            at, place = np.nonzero(rough >= (worst - slack)[:, None])
+            exact = np.einsum("nd,nd->n", self.queries[q[at]], base[place], optimize=False)
+            good = (exact >= worst[at]) & (self.own[q[at]] != ids[place])
+            at, place, exact = at[good], place[good], exact[good]
+            if not len(at):
                 continue
+            hit, row = np.unique(at, return_inverse=True)
+            counts = np.bincount(row)
+            column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            new_scores = np.full((len(hit), counts.max()), -np.inf)
+            new_ids = np.full(new_scores.shape, NOBODY)
+            new_scores[row, column], new_ids[row, column] = exact, ids[place]
             mine = q[hit]
-            all_scores = np.concatenate([self.score[mine], scores[hit]], axis=1)
-            all_ids = np.concatenate([self.found[mine], np.broadcast_to(ids, (len(hit), len(ids)))], axis=1)
-            all_ids = np.where(np.isneginf(all_scores), np.iinfo(np.int64).max, all_ids)
+            all_scores = np.concatenate([self.score[mine], new_scores], axis=1)
+            all_ids = np.concatenate([self.found[mine], new_ids], axis=1)
             order = np.lexsort((all_ids, -all_scores), axis=-1)[:, : self.k]
             self.score[mine] = np.take_along_axis(all_scores, order, 1)
             self.found[mine] = np.take_along_axis(all_ids, order, 1)
@@ -158,7 +170,7 @@ def nearest(
         search = Search(Tree(x), base["_id"].to_numpy(), k, factor)
         own = queries["_id"].to_numpy()
         _, found = search.run(q, own)
-        at, place = np.nonzero(found != np.iinfo(np.int64).max)
+        at, place = np.nonzero(found != NOBODY)
         row_of = pd.Series(np.arange(len(base)), index=base["_id"])
         hits = row_of.loc[found[at, place]].to_numpy()
         # The measure itself, on the vectors as given.
