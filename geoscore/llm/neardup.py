@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoscore.llm.common import raw, rows_of, texts, words
@@ -41,6 +41,8 @@ BANDS, ROWS = 21, 3
 PERCENT = 80
 #: Standard errors of the estimate that a pair may fall short and is still compared.
 SLACK = 5.0
+#: Holders that a shingle may have and still count as rare.
+RARE = 32
 #: Pivots of a bucket in its first rounds; later ones go on growing by the last factor.
 PIVOTS = (1, 8)
 BATCH_BYTES = 4 << 20
@@ -191,6 +193,42 @@ def _verifier(shingle: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _unshared(rows: DataFrame, shingle: int) -> DataFrame:
+    """(``node``, ``unshared``): shingles of a text that it can't share with any one of the others.
+
+    Those no other text has, and of those that few have (``RARE`` at most) all but the
+    most that one other text has of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for part in rows_of(batches, BATCH_BYTES):
+            if len(known) > REMEMBERED:
+                known.clear()
+            nodes, grams = part.column(0), []
+            for text in raw(part.column(1)):
+                tokens = np.array(list(map(known.__getitem__, words(text))), np.uint64)
+                grams.append(shingle_hashes(tokens, shingle))
+            repeated = np.repeat(np.arange(part.num_rows), [len(g) for g in grams])
+            yield pa.RecordBatch.from_arrays(
+                [nodes.take(pa.array(repeated)), pa.array(np.concatenate(grams).view(np.int64))],
+                names=["node", "gram"],
+            )
+
+    grams = rows.select("node", "text").mapInArrow(run, f"node {_type(rows, 'node')}, gram bigint")
+    grams = store(grams, "open-shingles")
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    rare = store(grams.join(held, "gram"), "rare-shingles")
+    total = rare.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
+    holders = rare.filter("n > 1").groupBy("gram").agg(F.collect_list("node").alias("nodes"))
+    met = holders.select(F.explode("nodes").alias("node"), "nodes").select("node", F.explode("nodes").alias("other"))
+    shared = met.filter("node <> other").groupBy("node", "other").count()
+    most = shared.groupBy("node").agg(F.max("count").alias("most"))
+    return total.join(most, "node", "left").select(
+        "node", (F.col("total") - F.coalesce("most", F.lit(0))).alias("unshared")
+    )
+
+
 def groups(
     docs: DataFrame,
     shingle: int = 5,
@@ -232,18 +270,29 @@ def groups(
         labelled = store(labelled.join(open_.filter("low < high").select("bucket"), "bucket"), "open")
         if labelled.isEmpty():
             break
+        # Shingles that can't be shared bound a pair's similarity from above and rule most pairs
+        # of a large group of edited copies out unseen.
+        own = _unshared(labelled.select("node").distinct().join(bodies, "node"), shingle) if round_ else None
+        free = F.col("n")
+        if own is not None:
+            labelled = labelled.join(own, "node", "left")
+            free = F.col("n") - F.coalesce("unshared", F.lit(0))
+        labelled = store(labelled.select("bucket", "node", "n", "label", free.alias("free")), "bounded")
         # A pivot for each share of the bucket, the smallest id of that share.
         share = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(pivots))
         chosen = (
             labelled.groupBy("bucket", share.alias("share"))
-            .agg(F.min(F.struct("node", "n", "label")).alias("p"))
+            .agg(F.min(F.struct("node", "n", "label", "free")).alias("p"))
             .groupBy("bucket")
             .agg(F.collect_list("p").alias("p"))  # at most as many as there are shares
         )
         chosen = store(chosen, "pivots")
-        met = labelled.join(chosen, "bucket").select("node", "n", "label", F.explode("p").alias("p"))
-        near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
-        pairs = met.filter((F.col("label") != F.col("p.label")) & near)
+        def may_link(p: Column) -> Column:
+            most = F.least("free", p["free"])
+            near = most * 100 >= (F.col("n") + p["n"] - most) * percent
+            return (p["label"] != F.col("label")) & near
+
+        pairs = labelled.join(chosen, "bucket").select("node", F.explode(F.filter("p", may_link)).alias("p"))
         pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
