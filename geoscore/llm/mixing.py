@@ -40,7 +40,7 @@ from geoscore.sources.storage import store
 ORDERS = (3, 5)
 CONTEXTS = (*ORDERS, "word")
 #: Slots of each context's table, as a power of two.
-SLOT_BITS = (22, 22, 24)
+SLOT_BITS = (20, 22, 22)
 #: Pieces that a table is summed in.
 CHUNKS = 16
 #: Tables summed together before the last sum.
@@ -48,10 +48,10 @@ TOGETHER = 256
 #: Steps of log odds kept in a byte.
 STEPS = 10
 #: Text of a block, and of a batch of the byte model.
-BLOCK_BYTES = 32 << 20
-BATCH_BYTES = 1 << 18
+BLOCK_BYTES = 16 << 20
+BATCH_BYTES = 1 << 17
 #: Decisions in a document's first stretch.
-STRETCH = 1024
+STRETCH = 2048
 #: Where every document's weights start; the gate adds 1 if the longer history, 2 if the word, is known.
 WEIGHTS = np.array([[0.76, 0, 0], [0.72, 0.39, 0], [0.47, 0, 0.27], [0.3, 0.57, 0.29]], np.float32)
 RATE = 0.6
@@ -143,8 +143,8 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def decisions(
     documents: Sequence[bytes], code: Code
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All decisions of documents: whose, their place there, outcome, and slots per context."""
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All decisions of documents: how many each has, outcomes, and slots per context."""
     data = np.frombuffer(b"".join(d.lower() + b"\xff" for d in documents), np.uint8)
     sizes = np.array([len(d) + 1 for d in documents])
     begins = np.cumsum(sizes) - sizes
@@ -159,43 +159,40 @@ def decisions(
         x ^= x >> _U32(16)
         x *= _U32(0x85EBCA6B)
         slots.append(x >> _U32(32 - width))
-    per_doc = np.add.reduceat(reps, begins)
-    owner = np.repeat(np.arange(len(documents), dtype=np.int32), per_doc)
-    place = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(per_doc) - per_doc).astype(np.int32), per_doc)
-    return owner, place, code.bits[at], slots
+    return np.add.reduceat(reps, begins), code.bits[at], slots
 
 
 def costs(documents: Sequence[bytes], code: Code, tables: Sequence[np.ndarray]) -> np.ndarray:
     """Bits of each document, its weights refined stretch by stretch."""
-    owner, place, bit, slots = decisions(documents, code)
-    odds_in = [t[s] for t, s in zip(tables, slots)]
-    cell = owner * np.int32(len(WEIGHTS))
-    cell += odds_in[1] != 0
-    cell += np.int32(2) * (odds_in[2] != 0)
-    weights = [np.tile(w, len(documents)) for w in WEIGHTS.T / np.float32(STEPS)]
-    # A decision's stretch: the exponent of its place, in units of the first one.
-    stretch = ((place // STRETCH + 1).astype(np.float32).view(np.int32) >> 23).astype(np.uint8)
-    last = np.zeros(len(documents), np.uint8)
-    ends = np.flatnonzero(np.diff(owner, append=-1))
-    last[owner[ends]] = stretch[ends]
+    sizes, bit, slots = decisions(documents, code)
+    inputs = [t[s].astype(np.float32) for t, s in zip(tables, slots)]
+    gates = (inputs[1] != 0).astype(np.intp)
+    gates += 2 * (inputs[2] != 0)
+    signs = np.float32(1) - np.float32(2) * bit
     total = np.zeros(len(documents))
-    for s in np.unique(stretch):
-        now = np.flatnonzero(stretch == s)
-        own, cells = owner[now], cell[now]
-        inputs = [x[now].astype(np.float32) for x in odds_in]
-        logit = sum(w[cells] * x for w, x in zip(weights, inputs))
-        sign = bit[now].astype(np.float32) * 2 - 1
-        odds = np.exp(np.minimum(-sign * logit, np.float32(30)))
-        total += np.bincount(own, np.log(1 + odds), len(documents))
-        # Documents that end here have no use for better weights.
-        on = np.flatnonzero(last[own] > s)
-        if len(on):
-            cells = cells[on]
-            error = (sign * odds / (1 + odds))[on]
-            seen = np.bincount(cells, minlength=len(weights[0])) + 64
-            for w, x in zip(weights, inputs):
-                push = np.bincount(cells, error * x[on], len(w)) / STEPS
-                w += (RATE / STEPS * push / seen).astype(np.float32)
+    ends = np.cumsum(sizes)
+    for d, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+        weights = list(WEIGHTS.T / np.float32(STEPS))
+        stretch = STRETCH
+        while begin < end:
+            now = slice(begin, min(begin + stretch, end))
+            gate, x = gates[now], [i[now] for i in inputs]
+            # Minus the log odds of what came, then the odds of what didn't.
+            odds = weights[0][gate] * x[0]
+            for w, i in zip(weights[1:], x[1:]):
+                odds += w[gate] * i
+            odds *= signs[now]
+            np.minimum(odds, np.float32(30), out=odds)
+            np.exp(odds, out=odds)
+            above = odds + np.float32(1)
+            total[d] += np.log(above).sum(dtype=np.float64)
+            begin, stretch = now.stop, stretch * 2
+            if begin < end:  # what ends here has no use for better weights
+                odds /= above
+                odds *= signs[now]
+                seen = (np.bincount(gate, minlength=len(WEIGHTS)) + 64) * STEPS**2 / RATE
+                pushes = [np.bincount(gate, odds * i, len(WEIGHTS)) for i in x]
+                weights = [w - (push / seen).astype(np.float32) for w, push in zip(weights, pushes)]
     return total / np.log(2)
 
 
@@ -238,7 +235,7 @@ def observe(docs: DataFrame, id_col: str) -> DataFrame:
                 },
             )
 
-        for part in rows_of(batches, BATCH_BYTES * 4):
+        for part in rows_of(batches, BATCH_BYTES * 8):
             types[2] = part.column(0).type
             documents, held = raw(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
             numbers = []
@@ -303,7 +300,7 @@ def tables(docs: DataFrame, prefix: Code) -> list[np.ndarray]:
         code = shared()
         one = np.int32(1)  # of the table's own type, which numpy adds ten times faster
         for part in rows_of(batches, BATCH_BYTES):
-            _, _, bit, slots = decisions(raw(part.column(1)), code)
+            _, bit, slots = decisions(raw(part.column(1)), code)
             for total, slot in zip(totals, slots):
                 np.add.at(total, slot.astype(np.int64) * 2 + bit, one)
         group = TaskContext.get().partitionId() // TOGETHER
