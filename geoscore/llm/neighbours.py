@@ -173,8 +173,10 @@ def nearest(
         at, place = np.nonzero(found != NOBODY)
         row_of = pd.Series(np.arange(len(base)), index=base["_id"])
         hits = row_of.loc[found[at, place]].to_numpy()
-        # The measure itself, on the vectors as given.
-        score = (q[at, :-1] * x[hits, :-1]).sum(1)
+        # The measure itself, on the vectors as given, summed from the first component on.
+        score = np.zeros(len(at))
+        for d in range(x.shape[1] - 1):
+            score += q[at, d] * x[hits, d]
         return pd.DataFrame({"query_id": own[at], "vec_id": found[at, place], "score": score})
 
     met = left.cogroup(right).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")

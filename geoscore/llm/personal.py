@@ -111,9 +111,9 @@ def candidates(text: str, known: list[Span]) -> list[Span]:
 
 
 def patterns(text: str, start: int, end: int) -> tuple[str, ...]:
-    """The two words before a span, and the words on either side of it."""
-    left = text[max(0, start - 60) : start].lower().split()[-2:]
-    right = text[end : end + 40].lower().split()[:1]
+    """The two words before a span, and the words on either side of it; brackets aside."""
+    left = text[max(0, start - 60) : start].rstrip("([{<\"'+ ").lower().split()[-2:]
+    right = text[end : end + 40].lstrip(")]}>\"'.,; ").lower().split()[:1]
     left = [DIGITS.sub("0", w) for w in left] or ["^"]
     right = [DIGITS.sub("0", w) for w in right] or ["$"]
     return " ".join(left) + " _", f"{left[-1]} _ {right[0]}"

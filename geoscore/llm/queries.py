@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscore.llm import chat, decontaminate, mixing, neardup, neighbours, personal, pieces, repeats, secrets, toxicity
+from geoscore.llm import chat, decontaminate, mixing, neardup, neighbours, oracle, personal, pieces, repeats, secrets, toxicity
 from geoscore.llm.common import table
 
 
@@ -80,4 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
 }
-ORACLE: dict[str, str] = {}
+#: The others learn from data or follow a vocabulary file; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_near_duplicates": oracle.near_duplicates(shingle=4),
+    "op4_secrets": oracle.secret_scan(),
+    "op7_chat": oracle.chat_formatting(CONTROL),
+    "op9_decontamination": oracle.leaks(),
+    "op10_neighbours": oracle.NEIGHBOURS,
+}
