@@ -149,12 +149,20 @@ def _sequence(parsed) -> set[str] | None:
 
 
 def postings(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The index: (trigram, ``_key``) for every trigram that a rule asks for."""
+    """The index: (trigram, ``_key``) for every trigram that a rule asks for.
+
+    One pass over a text finds them all, overlapping ones too: the pattern looks ahead from
+    every place and takes up none of the text.
+    """
     wanted = sorted({t for r in rules for a in trigram_query(r.regex) for t in a})
-    low = F.lower("text")
-    held = [F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]
-    grams = F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")
-    return rows.select("_key", F.explode(grams).alias("trigram"))
+    if not wanted:
+        return rows.select("_key", F.lit("").alias("trigram")).limit(0)
+    by_first: dict[str, list[str]] = {}
+    for t in wanted:
+        by_first.setdefault(re.escape(t[0]), []).append(re.escape(t[1:]))
+    looked = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+    held = F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({looked}))"), F.lit(1))
+    return rows.select("_key", F.explode(F.array_distinct(held)).alias("trigram"))
 
 
 def candidates(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
