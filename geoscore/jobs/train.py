@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     )
     result.model.save(args.model)
     result.write(args.reports)
+    result.close()
 
 
 if __name__ == "__main__":

@@ -16,6 +16,7 @@ from geoscore.functions.scores import binary_label, required_score
 
 # The threshold grid, 181 even points from 0.05 to 0.95.
 GRID_LOW, GRID_HIGH, GRID_POINTS = 0.05, 0.95, 181
+GRID = (GRID_LOW, GRID_HIGH, GRID_POINTS)
 
 
 def class_balance(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -134,30 +135,37 @@ def threshold_curve(
     Rows are counted per grid bin; running sums over the ``points + 1`` bins then
     give every threshold's counts. Only bins are shuffled, never rows.
     """
-    by = list(by)
-    scored = df.select(
-        *by, required_score(score).alias("_p"), binary_label(label).alias("_y")
-    )
-    rows = scored.select(
+    rows = df.select(
         *by,
-        reached_thresholds(F.col("_p"), low, high, points).alias("bin"),
-        (F.col("_y") == 1).cast("bigint").alias("pos"),
-        (F.col("_y") == 0).cast("bigint").alias("neg"),
+        required_score(score).alias("score"),
+        (binary_label(label) == 1).cast("bigint").alias("pos"),
+        (binary_label(label) == 0).cast("bigint").alias("neg"),
     )
-    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
-    if by:
-        rows = rows.groupBy(*by, "bin").agg(*sums)
-        keys = rows.select(*by).distinct()
-    else:
-        keys = df.sparkSession.range(1)
-    # A zero row per bin, so that a threshold no score falls next to still has its row.
-    empty = keys.select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.lit(points))).alias("bin"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.lit(0).cast("bigint").alias("neg"),
+    return curve_of_counts(rows, by, low, high, points)
+
+
+def curve_of_counts(
+    counts: DataFrame,
+    by: Sequence[str] = (),
+    low: float = GRID_LOW,
+    high: float = GRID_HIGH,
+    points: int = GRID_POINTS,
+) -> DataFrame:
+    """The threshold curve of ``score, pos, neg`` rows, however far they are combined."""
+    by = list(by)
+    binned = counts.select(
+        *by, reached_thresholds(F.col("score"), low, high, points).alias("bin"), "pos", "neg"
+    )
+    sums = binned.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A key's bins, at most points + 1 of them, laid out so that empty ones are there too.
+    entry = F.struct(F.col("bin"), F.struct("pos", "neg"))
+    found = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_bins"))
+    laid = found.select(*by, "_bins", F.explode(F.sequence(F.lit(0), F.lit(points))).alias("bin"))
+    at = F.try_element_at("_bins", F.col("bin"))
+    zero = F.lit(0).cast("bigint")
+    full = laid.select(
+        *by, "bin", F.coalesce(at["pos"], zero).alias("pos"), F.coalesce(at["neg"], zero).alias("neg")
     )
-    full = rows.unionByName(empty).groupBy(*by, "bin").agg(*sums)
     # At most points + 1 rows per window, fixed by the grid.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     reached = group.orderBy(F.desc("bin")).rowsBetween(

@@ -25,11 +25,16 @@ def missing_fields(present: Iterable[str] | Mapping, wanted: Sequence[str] = FEA
     return [name for name in wanted if name not in names]
 
 
+def lacking(missing: Sequence[str]) -> ValueError:
+    """The error that names all missing features."""
+    return ValueError(f"the input lacks these features: {', '.join(missing)}")
+
+
 def require_columns(df: DataFrame, wanted: Sequence[str] = FEATURES) -> DataFrame:
     """The frame itself; raises with every missing column named."""
     missing = missing_fields(df.columns, wanted)
     if missing:
-        raise ValueError(f"Missing features: {missing}")
+        raise lacking(missing)
     return df
 
 
@@ -57,17 +62,40 @@ def drop_excluded(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.drop(*[name for name in EXCLUDED if name not in keep])
 
 
-def _closed(record: Column) -> Column:
-    """The text itself if it ends as an object does; parsers ignore what follows the brace."""
-    return F.when(F.rtrim(record).endswith("}"), record)
+END = "_end"
+
+
+def _members(record: Column, wanted: Sequence[str]) -> Column:
+    """The wanted members of a record as variants; NULL unless the text is exactly one object.
+
+    Parsers stop after the first value and never see what follows it. The record is
+    therefore read as the first of two items of an array, and the second must hold a hash
+    of the record: text that closes the array early can't foresee it.
+    """
+    fields = [T.StructField(name, T.VariantType()) for name in wanted]
+    item = T.StructType([*fields, T.StructField(END, T.LongType())])
+    mark = F.xxhash64(record)
+    wrapped = F.concat(F.lit("["), record, F.lit(f',{{"{END}":'), mark.cast("string"), F.lit("}]"))
+    items = F.from_json(wrapped, T.ArrayType(item))
+
+    def first(x: Column) -> Column:
+        whole = (F.size(x) == 2) & (F.get(x, F.lit(1))[END] == mark)
+        return F.when(whole, F.get(x, F.lit(0)))
+
+    # Through a one-item array, so that the text is parsed once.
+    return F.get(F.transform(F.array(items), first), F.lit(0))
 
 
 def missing_in_record(record: Column | str, wanted: Sequence[str] = FEATURES) -> Column:
-    """Names absent from a JSON object; a key holding null is present, bad JSON misses all."""
+    """Names absent from a JSON object; a key holding null is present, bad JSON misses all.
+
+    A member that can't be read, such as an object that repeats a key, counts as absent.
+    """
     record = F.col(record) if isinstance(record, str) else record
-    keys = F.map_keys(F.from_json(_closed(record), "map<string,string>"))
-    names = F.array(*[F.lit(name) for name in wanted])
-    return F.array_except(names, F.coalesce(keys, F.array().cast("array<string>")))
+    members = F.transform(F.array(_members(record, wanted)), lambda m: F.array(
+        *[F.when(m[name].isNull(), F.lit(name)) for name in wanted]
+    ))
+    return F.array_compact(F.get(members, F.lit(0)))
 
 
 def _text_is_number(text: Column) -> Column:
@@ -103,11 +131,10 @@ def check_records(
     """
     text = F.col(record)
     # Members as variants: an absent one is NULL, a null one is a variant null.
-    members_type = T.StructType([T.StructField(name, T.VariantType()) for name in wanted])
     members = df.select(
         *df.columns,
         F.coalesce(text.rlike(ODD_NUMBER), F.lit(False)).alias("_odd"),
-        F.from_json(_closed(text), members_type).alias("_json"),
+        _members(text, wanted).alias("_json"),
     )
     values = {}
     for name in wanted:

@@ -33,6 +33,11 @@ ROW_SHARE_A, ROW_SHARE_B = 0.85, 1.0
 COLUMN_SHARE = "0.85"
 LEAF_ROWS_A, LEAF_ROWS_B = 2, 20
 
+# Split candidates per feature. Spark ML takes them from about max(MAX_BINS**2, 10,000) sampled rows.
+MAX_BINS = 256
+# Relative error of the median that missing numbers take.
+MEDIAN_ERROR = 0.001
+
 # Rows per training task: few while that only adds parallelism, then as many as fit in memory.
 LAYOUT_FEW_ROWS, LAYOUT_SPREAD, LAYOUT_MOST_ROWS = 10_000, 2_000, 2_000_000
 
@@ -50,7 +55,7 @@ class Learner:
     vote: float = 0.0
 
 
-def _boosted(rounds: int, seed: int, **params) -> GBTClassifier:
+def _boosted(rounds: int, seed: int, max_bins: int, **params) -> GBTClassifier:
     return GBTClassifier(
         featuresCol=FEATURES_COL,
         labelCol=LABEL_COL,
@@ -58,6 +63,7 @@ def _boosted(rounds: int, seed: int, **params) -> GBTClassifier:
         lossType="logistic",
         maxIter=rounds,
         maxDepth=DEPTH,
+        maxBins=max_bins,
         featureSubsetStrategy=COLUMN_SHARE,
         seed=seed,
         # Long boosting runs cut their lineage in the shared checkpoint folder.
@@ -66,11 +72,14 @@ def _boosted(rounds: int, seed: int, **params) -> GBTClassifier:
     )
 
 
-def boosted_a(rounds: int = ROUNDS, vote: float = 0.30, seed: int = SEED) -> Learner:
+def boosted_a(
+    rounds: int = ROUNDS, vote: float = 0.30, seed: int = SEED, max_bins: int = MAX_BINS
+) -> Learner:
     """Row-sampled boosted trees. Spark ML has no L1/L2 leaf penalty; none is applied."""
     estimator = _boosted(
         rounds,
         seed,
+        max_bins,
         stepSize=STEP_A,
         subsamplingRate=ROW_SHARE_A,
         minInstancesPerNode=LEAF_ROWS_A,
@@ -78,11 +87,14 @@ def boosted_a(rounds: int = ROUNDS, vote: float = 0.30, seed: int = SEED) -> Lea
     return Learner("a", "boosted", estimator, vote)
 
 
-def boosted_b(rounds: int = ROUNDS, vote: float = 0.70, seed: int = SEED) -> Learner:
+def boosted_b(
+    rounds: int = ROUNDS, vote: float = 0.70, seed: int = SEED, max_bins: int = MAX_BINS
+) -> Learner:
     """Boosted trees on all rows; depth 5 gives 32 leaves, as many as a 31-leaf tree needs."""
     estimator = _boosted(
         rounds,
         seed,
+        max_bins,
         stepSize=STEP_B,
         subsamplingRate=ROW_SHARE_B,
         minInstancesPerNode=LEAF_ROWS_B,
@@ -90,7 +102,9 @@ def boosted_b(rounds: int = ROUNDS, vote: float = 0.70, seed: int = SEED) -> Lea
     return Learner("b", "boosted", estimator, vote)
 
 
-def forest(trees: int = 100, depth: int = 10, seed: int = SEED) -> Learner:
+def forest(
+    trees: int = 100, depth: int = 10, seed: int = SEED, max_bins: int = MAX_BINS
+) -> Learner:
     """Random-forest candidate; compared, without a vote."""
     estimator = RandomForestClassifier(
         featuresCol=FEATURES_COL,
@@ -98,6 +112,7 @@ def forest(trees: int = 100, depth: int = 10, seed: int = SEED) -> Learner:
         weightCol=WEIGHT_COL,
         numTrees=trees,
         maxDepth=depth,
+        maxBins=max_bins,
         seed=seed,
     )
     return Learner("forest", "forest", estimator)
@@ -133,7 +148,11 @@ def encoder(
         onehot = []
     filled = [f"remainder__{name}" for name in numbers]
     if numbers:
-        stages.append(Imputer(inputCols=numbers, outputCols=filled, strategy="median"))
+        stages.append(
+            Imputer(
+                inputCols=numbers, outputCols=filled, strategy="median", relativeError=MEDIAN_ERROR
+            )
+        )
     flags = [f"missing__{name}" for name in numbers] if missing_indicators else []
     stages.append(VectorAssembler(inputCols=[*onehot, *filled, *flags], outputCol=FEATURES_COL))
     return Pipeline(stages=stages)

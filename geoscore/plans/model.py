@@ -37,6 +37,7 @@ from geoscore.schema import FEATURES, LABEL
 from geoscore.sources.storage import enable_checkpoints
 
 SCORE = "score"
+ROW = "_scored_row"
 
 
 def _balance(df: DataFrame, label: str) -> tuple[int, float | None]:
@@ -75,20 +76,28 @@ class RiskModel:
         return {f"p_{m.name}": m.vote for m in self.learners if m.vote > 0}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``p_<learner>`` per learner and, if any of them votes, ``score``."""
+        """Adds ``p_<learner>`` per learner and, if any of them votes, ``score``.
+
+        A column that has one of these names already is replaced; every other column
+        passes through, whatever it is called.
+        """
         require_columns(df, self.features)
-        scored = self.encoder.transform(prepare(df, self.features, self.missing_indicators))
+        # The row travels in one column, apart from all that encoding and scoring add.
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *self.features)
+        scored = self.encoder.transform(prepare(rows, self.features, self.missing_indicators))
         for fitted in self.learners:
             model = fitted.model.copy()
             model.setRawPredictionCol("").setPredictionCol("")
             model.setProbabilityCol(f"_probability_{fitted.name}")
             scored = model.transform(scored)
+        outputs = [f"p_{m.name}" for m in self.learners]
         probabilities = [
             positive_probability(f"_probability_{m.name}").alias(f"p_{m.name}")
             for m in self.learners
         ]
-        out = scored.select(*df.columns, *probabilities)
-        out = computed_once(out, [f"p_{m.name}" for m in self.learners])
+        added = {*outputs, SCORE} if self.votes else set(outputs)
+        kept = [F.col(ROW)[c].alias(c) for c in df.columns if c not in added]
+        out = computed_once(scored.select(*kept, *probabilities), outputs)
         return out.withColumn(SCORE, soft_vote(self.votes)) if self.votes else out
 
     def feature_importance(self, spark: SparkSession, learner: str) -> DataFrame:

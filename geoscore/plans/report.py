@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoscore.functions.scores import BAND_EDGES, at_or_above
+from geoscore.functions.scores import BAND_EDGES
 from geoscore.functions.spatial import CELLS_PER_DEGREE
 from geoscore.operators.folds import FOLDS, SEED, assign_spatial_folds
-from geoscore.operators.metrics import (
-    best_threshold,
-    confusion,
-    confusion_matrix,
-    gather,
-    threshold_curve,
+from geoscore.operators.metrics import best_threshold, confusion_matrix, curve_of_counts, gather
+from geoscore.operators.profile import (
+    comparison_of_counts,
+    dataset_profile,
+    record_of_counts,
+    to_long,
 )
-from geoscore.operators.profile import dataset_profile, metrics_record, model_comparison, to_long
+from geoscore.operators.ranking import distinct_scores
 from geoscore.operators.validate import require_columns
 from geoscore.plans.learners import Learner
 from geoscore.plans.model import SCORE, RiskModel, fit, importance_ranking
@@ -33,7 +33,7 @@ from geoscore.schema import (
     THRESHOLD_CURVE_COLUMNS,
 )
 from geoscore.sources.sinks import write_record, write_report
-from geoscore.sources.storage import store
+from geoscore.sources.storage import drop, recorded, store
 
 VOTE = "vote"
 
@@ -49,6 +49,12 @@ class Evaluation:
     comparison: DataFrame
     importance: DataFrame
     report: DataFrame
+    #: Tables in the shared folder that the frames above read.
+    stored: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Deletes those tables; the model stays usable."""
+        drop(self.metrics.sparkSession, self.stored)
 
     def write(self, path: str) -> None:
         write_record(self.metrics, f"{path}/metrics")
@@ -70,13 +76,17 @@ def run_report(
     folds: int = FOLDS,
     project: str | None = None,
     limitations: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row: model, dataset and validation facts, features and bands.
 
     ``project`` and ``limitations`` are the author's own words, carried along.
+    ``counts`` are the vote's distinct scores, if they are stored already.
     """
-    curve = threshold_curve(oof, SCORE, label)
-    best = metrics_record(oof, SCORE, label)
+    if counts is None:
+        counts = store(distinct_scores(oof, SCORE, label), "distinct-scores")
+    curve = curve_of_counts(counts)
+    best = record_of_counts(counts)
     recall_first = best_threshold(curve, "f2").select(
         F.col("threshold").alias("high_recall_f2_threshold"),
         F.col("f2").alias("high_recall_f2"),
@@ -137,40 +147,42 @@ def train_and_evaluate(
     """Folds, out-of-fold scores, metrics and reports, then the final fit on all rows.
 
     The columns that are needed are stored first, so that a text source is parsed
-    once and not by every fit.
+    once and not by every fit. ``close()`` the result when its tables are written.
     """
+    spark = observations.sparkSession
     needed = [row_id, label, LATITUDE, LONGITUDE, "state", "source", *FEATURES]
-    observations = store(
-        require_columns(observations, needed).select(*dict.fromkeys(needed)), "observations"
-    )
-    folded = assign_spatial_folds(observations, LATITUDE, LONGITUDE, label, folds, seed)
-    oof = store(
-        out_of_fold(folded, row_id, learners, label, folds, parallelism=parallelism), "oof"
-    )
-    model = fit(observations, row_id, learners, label)
-    names = {f"p_{m.name}": m.name for m in learners} | {SCORE: VOTE}
-    shares = {m.name: m.vote for m in learners if m.vote > 0}
-    return Evaluation(
-        model=model,
-        out_of_fold=oof,
-        metrics=metrics_record(oof, SCORE, label).select(*METRICS_COLUMNS),
-        curve=threshold_curve(oof, SCORE, label).select(*THRESHOLD_CURVE_COLUMNS),
-        comparison=model_comparison(to_long(oof, names, label), label, {VOTE: shares}),
-        importance=importance_ranking(
-            model.feature_importance(observations.sparkSession, importance_of or learners[0].name)
-        ),
-        report=run_report(
-            oof,
-            observations,
-            model.votes,
-            label,
-            folds=folds,
-            project=project,
-            limitations=limitations,
-        ),
-    )
-
-
-def flag_counts(oof: DataFrame, threshold: float, label: str = LABEL) -> DataFrame:
-    """Confusion counts of out-of-fold scores at one threshold."""
-    return confusion(oof, label, at_or_above(SCORE, threshold))
+    with recorded() as stored:
+        observations = store(
+            require_columns(observations, needed).select(*dict.fromkeys(needed)), "observations"
+        )
+        folded = assign_spatial_folds(observations, LATITUDE, LONGITUDE, label, folds, seed)
+        oof = store(
+            out_of_fold(folded, row_id, learners, label, folds, parallelism=parallelism), "oof"
+        )
+        model = fit(observations, row_id, learners, label)
+        names = {f"p_{m.name}": m.name for m in learners} | {SCORE: VOTE}
+        shares = {m.name: m.vote for m in learners if m.vote > 0}
+        # Every model's distinct scores, from one pass; all metrics below read them.
+        counts = store(distinct_scores(to_long(oof, names, label), "score", label, ["model"]), "scores")
+        vote = counts.filter(F.col("model") == VOTE).drop("model")
+        return Evaluation(
+            model=model,
+            out_of_fold=oof,
+            metrics=record_of_counts(vote).select(*METRICS_COLUMNS),
+            curve=curve_of_counts(vote).select(*THRESHOLD_CURVE_COLUMNS),
+            comparison=comparison_of_counts(counts, {VOTE: shares}),
+            importance=importance_ranking(
+                model.feature_importance(spark, importance_of or learners[0].name)
+            ),
+            report=run_report(
+                oof,
+                observations,
+                model.votes,
+                label,
+                folds=folds,
+                project=project,
+                limitations=limitations,
+                counts=vote,
+            ),
+            stored=stored,
+        )

@@ -62,16 +62,8 @@ OBSERVATION_SCHEMA = T.StructType(
     ]
 )
 
-SCORE_SCHEMA = T.StructType(
-    [
-        T.StructField("risk_probability", T.DoubleType()),
-        T.StructField("risk_level", T.StringType()),
-    ]
-)
-
 THRESHOLD_CURVE_COLUMNS = ("threshold", "f1", "f2", "precision", "recall")
 METRICS_COLUMNS = ("roc_auc", "pr_auc", "threshold", "f1", "precision", "recall")
-COMPARISON_COLUMNS = ("model", "roc_auc", "pr_auc", "threshold", "f1", "f2", "precision", "recall")
 
 
 def schema_for(names, schema: T.StructType = OBSERVATION_SCHEMA) -> T.StructType:

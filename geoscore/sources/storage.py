@@ -6,30 +6,33 @@ Everything written here goes to the folder the cluster names in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_RECORDED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session without one gets a scratch folder."""
+    """The session's checkpoint folder, which every executor must reach."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-geoscore-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if not folder:
+        raise ValueError(f"start the session with {CHECKPOINT_KEY} set to a folder every executor can reach")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/geoscore/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/geoscore/{name}-{uuid.uuid4().hex}"
+    recorded = _RECORDED.get()
+    if recorded is not None:
+        recorded.append(path)
+    return path
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
@@ -50,3 +53,22 @@ def store(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths handed out inside, for :func:`drop`."""
+    paths: list[str] = []
+    token = _RECORDED.set(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDED.reset(token)
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables; frames that read them can't be used any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)

@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoscore.operators.validate import missing_fields
+from geoscore.operators.validate import lacking, missing_fields
 from geoscore.schema import FEATURE_SCHEMA, FEATURES, OBSERVATION_SCHEMA, schema_for
 
 
+# The cell texts that stand for a missing number.
+MISSING_MARKERS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def number_cell(name: str, kind: T.DataType) -> Column:
+    """A cell as a number: NULL for a missing marker; any other text must parse."""
+    text = F.trim(F.col(f"`{name}`"))
+    return F.when(~text.isin(*MISSING_MARKERS), text).cast(kind)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -20,8 +33,8 @@ def read_csv(
 ) -> DataFrame:
     """Headed CSV, matched to the declared schema by name, in any column order.
 
-    With ``typed`` a value that does not parse fails the query; otherwise all
-    columns stay text for :func:`geoscore.operators.validate.check_columns`.
+    With ``typed`` a missing marker in a number column is NULL and any other value
+    that does not parse fails the query; otherwise all columns stay text for :func:`geoscore.operators.validate.check_columns`.
     """
     header = spark.read.option("header", True).csv(path).columns
     text = T.StructType([T.StructField(name, T.StringType()) for name in header])
@@ -31,7 +44,14 @@ def read_csv(
     if not typed:
         return raw
     return raw.select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema_for(header, schema)]
+        *[
+            (
+                number_cell(f.name, f.dataType)
+                if isinstance(f.dataType, T.NumericType)
+                else F.col(f"`{f.name}`").cast(f.dataType)
+            ).alias(f.name)
+            for f in schema_for(header, schema)
+        ]
     )
 
 
@@ -61,7 +81,7 @@ def from_rows(spark: SparkSession, rows: Iterable[Mapping[str, object]]) -> Data
     for row in rows:
         missing = missing_fields(row)
         if missing:
-            raise ValueError(f"Missing features: {missing}")
+            raise lacking(missing)
         ordered.append(
             tuple(
                 float(row[f.name])

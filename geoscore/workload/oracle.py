@@ -114,8 +114,9 @@ _JSON = "CASE WHEN json_valid(record) THEN record END"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def _checked() -> str:
+def _checked(*keep: str) -> str:
     """Type, text and fault of every field of every record."""
+    more = "".join(f", {name}" for name in keep)
     columns, faults = [], []
     for name in FEATURES:
         kind, text = f"json_type(j, '$.{name}')", f"json_extract_string(j, '$.{name}')"
@@ -137,12 +138,15 @@ def _checked() -> str:
             f"WHEN NOT coalesce({good}, FALSE) THEN '{name}: {fault}' END"
         )
     return (
-        f"{RECS}, parsed AS (SELECT event_id, {_JSON} AS j FROM records), "
-        f"checked AS (SELECT event_id, {', '.join(columns)}, "
+        f"{RECS}, parsed AS (SELECT event_id{more}, {_JSON} AS j FROM records), "
+        f"checked AS (SELECT event_id{more}, {', '.join(columns)}, "
         f"concat_ws(',', {', '.join(faults)}) AS errors FROM parsed)"
     )
 
 
+_PLANTED = f"CASE WHEN land_cover IN ({', '.join(repr(v) for v in LAND_COVER[:2])}) THEN 1 ELSE 0 END"
+
+
 def _best(metric: str, columns: str, key: str = "") -> str:
     part = f"PARTITION BY {key} " if key else ""
     return (
@@ -167,6 +171,7 @@ _RATES_COLUMNS = "f1, f2, precision, recall"
 ORACLE: dict[str, str] = {
     "csv_scan": _with(OBS, "SELECT * FROM observations"),
     "json_scan": _with(OBS, f"SELECT event_id, {_FEATURES} FROM observations"),
+    "csv_missing_markers": _with(OBS, "SELECT event_id, ndvi, land_cover FROM observations"),
     "score_sink": _with(
         POINTS, f"SELECT obs_id, round(score, 6) AS risk_probability, {BAND} AS risk_level FROM pts"
     ),
@@ -217,6 +222,12 @@ ORACLE: dict[str, str] = {
         "SELECT CAST(i AS INTEGER) AS step, low + i * ((high - low) / 180) AS threshold "
         "FROM ends, range(181) t(i)",
     ),
+    "threshold_grid_published": _with(
+        f"{POINTS}, grid AS (SELECT CAST(i AS INTEGER) AS step, 0.05e0 + i * ((0.95e0 - 0.05e0) / 180) "
+        "AS threshold FROM range(181) t(i))",
+        "SELECT step, threshold, CAST(count(*) FILTER (score >= threshold) AS BIGINT) AS rows "
+        "FROM grid, pts GROUP BY 1, 2",
+    ),
     "threshold_curve": _with(
         f"{POINTS}, {_curve()}", f"SELECT threshold, tn, fp, fn, tp, {_RATES_COLUMNS} FROM curve"
     ),
@@ -252,6 +263,14 @@ ORACLE: dict[str, str] = {
         f"best AS ({_best('f1', 'threshold, f1, precision, recall')})",
         "SELECT roc_auc, average_precision AS pr_auc, threshold, f1, precision, recall FROM ranks, best",
     ),
+    "metrics_sink": _with(
+        f"{POINTS}, {_curve()}, {_ranks()}, "
+        f"best AS ({_best('f1', 'threshold, f1, precision, recall')})",
+        "SELECT roc_auc, average_precision AS pr_auc, threshold, f1, precision, recall FROM ranks, best",
+    ),
+    "report_sink": _with(
+        f"{POINTS}, {_curve()}", "SELECT threshold, f1, f2, precision, recall FROM curve"
+    ),
     "dataset_profile": _with(
         OBS,
         "SELECT CAST(count(*) AS BIGINT) AS rows, "
@@ -331,6 +350,20 @@ ORACLE: dict[str, str] = {
     "model_roundtrip": _with(
         OBS, "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing FROM observations"
     ),
+    "rescored_table": _with(
+        OBS, "SELECT event_id, 'mine' AS features, event_id AS label, TRUE AS sound FROM observations"
+    ),
+    "planted_out_of_fold": _with(
+        f"{OBS}, {_folds('observations', 'landslide')}",
+        f"SELECT event_id, fold, {_PLANTED} AS landslide, {_PLANTED} AS a, {_PLANTED} AS b, "
+        f"{_PLANTED} AS forest, {_PLANTED} AS vote FROM located JOIN deal USING (cell)",
+    ),
+    "planted_comparison": "SELECT unnest(['a', 'b', 'forest', 'vote']) AS model, 1.0e0 AS roc_auc, 1.0e0 AS pr_auc",
+    "stream_checked": _with(
+        _checked("record"),
+        "SELECT record, CASE WHEN errors = '' THEN 'valid' ELSE 'quarantine' END AS status, errors, "
+        "errors = '' AS scored FROM checked",
+    ),
     "scored_heat_totals": _with(
         f"{OBS}, pts AS (SELECT latitude, longitude, 0.0e0 AS score FROM observations), {_tiles()}, "
         "zooms AS (SELECT CAST(9 - up AS INTEGER) AS z, x >> up AS tx, y >> up AS ty "

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from geoscore.functions.scores import (
     VOTE_WEIGHTS,
     at_or_above,
-    class_weight,
     risk_band,
     round_score,
     soft_vote,
@@ -20,20 +19,28 @@ from geoscore.functions.spatial import grid_cell, grid_cell_bound
 from geoscore.operators import folds as fold_ops
 from geoscore.operators import metrics, profile, ranking, tiles, validate
 from geoscore.plans import heat, learners, scoring, validation
-from geoscore.plans.model import RiskModel, fit, importance_ranking, positive_weight
-from geoscore.schema import FEATURES, LABEL, METRICS_COLUMNS, schema_for
+from geoscore.plans.model import RiskModel, fit, importance_ranking
+from geoscore.schema import (
+    FEATURES,
+    LABEL,
+    METRICS_COLUMNS,
+    THRESHOLD_CURVE_COLUMNS,
+    schema_for,
+)
 from geoscore.sources import tables
-from geoscore.sources.sinks import write_scores
+from geoscore.sources.sinks import write_record, write_report, write_scores
 from geoscore.sources.storage import scratch_path, store
 from geoscore.streaming.score_stream import read_record_stream, score_stream, write_score_stream
-from geoscore.workload.views import view
+from geoscore.workload.views import LAND_COVER, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 VOTES = {f"p_{name}": share for name, share in VOTE_WEIGHTS.items()}
-# Boosting rounds of the registered model queries; the library default is ROUNDS.
+# Sizes of the registered models. They check plans and agreement, which do not depend on
+# the number of trees, on every run; the library's own defaults are 500 rounds and 100 trees.
 QUERY_ROUNDS = 5
+QUERY_TREES, QUERY_DEPTH = 20, 5
 # The published operating point the prediction queries use.
 OPERATING_THRESHOLD = 0.18
 
@@ -74,6 +81,19 @@ def json_scan(spark, sf_dir):
     return tables.read_json_table(spark, path, schema_for(["event_id", *FEATURES]))
 
 
+@query
+def csv_missing_markers(spark, sf_dir):
+    """Cells that stand for a missing number, in every spelling."""
+    path = scratch_path(spark, "csv-markers")
+    spellings = F.array(*map(F.lit, tables.MISSING_MARKERS))
+    spelling = F.get(spellings, F.pmod(F.col("event_id").cast("bigint"), F.size(spellings)).cast("int"))
+    cells = _observations(spark, sf_dir).select(
+        "event_id", F.coalesce(F.col("ndvi").cast("string"), spelling).alias("ndvi"), "land_cover"
+    )
+    write_scores(cells, path, "csv")
+    return tables.read_csv(spark, path)
+
+
 @query
 def score_sink(spark, sf_dir):
     path = scratch_path(spark, "scores")
@@ -154,7 +174,8 @@ def class_balance(spark, sf_dir):
 @query
 def class_weights(spark, sf_dir):
     rows = view(spark, sf_dir, "scored").select("obs_id", "label")
-    weight = class_weight("label", positive_weight(rows, "label"))
+    balance = metrics.class_balance(rows, "label").select("pos_weight").scalar()
+    weight = F.when(F.col("label") == 1, balance).otherwise(F.lit(1.0))
     return rows.select("obs_id", "label", weight.alias("weight"))
 
 
@@ -198,6 +219,21 @@ def threshold_grid(spark, sf_dir):
     return metrics.threshold_grid(spark, low, high)
 
 
+@query
+def threshold_grid_published(spark, sf_dir):
+    """The published grid with the rows that reach each of its thresholds."""
+    rows = _scored(spark, sf_dir).select(
+        F.explode(
+            F.sequence(F.lit(0), metrics.reached_thresholds(F.col("score"), *metrics.GRID))
+        ).alias("reached")
+    )
+    reached = rows.filter("reached > 0").groupBy((F.col("reached") - 1).alias("step")).count()
+    grid = metrics.threshold_grid(spark)
+    return grid.join(reached, "step", "left").select(
+        "step", "threshold", F.coalesce("count", F.lit(0).cast("bigint")).alias("rows")
+    )
+
+
 @query
 def threshold_curve(spark, sf_dir):
     return metrics.threshold_curve(_scored(spark, sf_dir), "score", "label")
@@ -264,6 +300,26 @@ def metrics_record(spark, sf_dir):
     return _rounded(out.select(*METRICS_COLUMNS), "roc_auc", "pr_auc")
 
 
+@query
+def metrics_sink(spark, sf_dir):
+    """The metrics record, written as JSON and read back."""
+    path = scratch_path(spark, "metrics")
+    record = profile.metrics_record(_scored(spark, sf_dir), "score", "label").select(*METRICS_COLUMNS)
+    write_record(record, path)
+    out = spark.read.schema(record.schema).option("multiLine", True).json(path)
+    return _rounded(out, "roc_auc", "pr_auc")
+
+
+@query
+def report_sink(spark, sf_dir):
+    """The threshold report, written as one CSV file and read back."""
+    path = scratch_path(spark, "report")
+    curve = metrics.threshold_curve(_scored(spark, sf_dir), "score", "label")
+    curve = curve.select(*THRESHOLD_CURVE_COLUMNS)
+    write_report(curve, path, ["threshold"])
+    return spark.read.schema(curve.schema).option("header", True).csv(path)
+
+
 @query
 def dataset_profile(spark, sf_dir):
     out = profile.dataset_profile(_observations(spark, sf_dir), LABEL, "state", "source")
@@ -393,7 +449,7 @@ def _voters() -> list[learners.Learner]:
 
 
 def _candidates() -> list[learners.Learner]:
-    return [*_voters(), learners.forest(trees=20, depth=5)]
+    return [*_voters(), learners.forest(QUERY_TREES, QUERY_DEPTH)]
 
 
 def _model(spark: SparkSession, sf_dir: str) -> RiskModel:
@@ -557,6 +613,66 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def rescored_table(spark, sf_dir):
+    """Scoring a table that has score, label and feature-vector columns of its own."""
+    rows = _observations(spark, sf_dir).withColumns(
+        {
+            "p_a": F.lit(2.0),
+            "score": F.lit(-1.0),
+            "features": F.lit("mine"),
+            "label": F.col("event_id"),
+        }
+    )
+    scored = _model(spark, sf_dir).transform(rows)
+    sound = F.col("p_a").between(0.0, 1.0) & F.col("score").between(0.0, 1.0)
+    return scored.select("event_id", "features", "label", sound.alias("sound"))
+
+
+# A label that one split can tell: two levels of land cover.
+PLANTED_LEVELS = LAND_COVER[:2]
+PLANTED_FEATURES = ("land_cover", "slope_deg")
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores for the planted label."""
+
+    def make():
+        label = F.col("land_cover").isin(*PLANTED_LEVELS).cast("int")
+        folded = _folded(spark, sf_dir).withColumn(LABEL, label)
+        scores = validation.out_of_fold(
+            folded, "event_id", _candidates(), features=PLANTED_FEATURES, parallelism=fold_ops.FOLDS
+        )
+        return store(scores, "planted")
+
+    return _once(spark, sf_dir, "planted", make)
+
+
+@query
+def planted_out_of_fold(spark, sf_dir):
+    """Every learner's class for every event; each must find the planted label."""
+    names = {"p_a": "a", "p_b": "b", "p_forest": "forest", "score": "vote"}
+    classes = [(F.col(c) >= 0.5).cast("int").alias(n) for c, n in names.items()]
+    return _planted(spark, sf_dir).select("event_id", "fold", LABEL, *classes)
+
+
+@query
+def planted_comparison(spark, sf_dir):
+    names = {"p_a": "a", "p_b": "b", "p_forest": "forest", "score": "vote"}
+    long = profile.to_long(_planted(spark, sf_dir), names, LABEL)
+    out = profile.model_comparison(long, LABEL, {"vote": VOTE_WEIGHTS})
+    return _rounded(out.select("model", "roc_auc", "pr_auc"), "roc_auc", "pr_auc")
+
+
+@query
+def stream_checked(spark, sf_dir):
+    """What the stream says of every record, its score left out."""
+    return _streamed(spark, sf_dir).select(
+        "record", "status", F.array_join("errors", ",").alias("errors"),
+        F.col("risk_probability").isNotNull().alias("scored"),
+    )
+
+
 @query
 def scored_heat_layer(spark, sf_dir):
     return heat.heat_layer(_model(spark, sf_dir), _observations(spark, sf_dir))

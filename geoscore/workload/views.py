@@ -116,8 +116,12 @@ _RECORD_FIELDS = (
 )
 RECORDS = {
     "event_id": "CAST(o_orderkey AS STRING)",
+    # One line in 43 goes on after its object, in one of five ways.
     "record": "CASE WHEN o_orderkey % 101 = 7 THEN 'not json'"
-    f" ELSE concat('{{', concat_ws(',', {', '.join(_RECORD_FIELDS)}), '}}') END",
+    f" ELSE concat('{{', concat_ws(',', {', '.join(_RECORD_FIELDS)}), '}}',"
+    " CASE WHEN o_orderkey % 43 <> 11 THEN '' WHEN o_orderkey % 5 = 0 THEN '{\"ndvi\":0.1}'"
+    " WHEN o_orderkey % 5 = 1 THEN ' oops }' WHEN o_orderkey % 5 = 2 THEN ',\"x\":{\"y\":1}'"
+    " WHEN o_orderkey % 5 = 3 THEN ']' ELSE ',{\"_end\":1}],{}' END) END",
 }
 
 _SOURCES = {

@@ -201,14 +201,36 @@ def test_ranks_with_a_hot_score(spark):
     assert got.average_precision == pytest.approx(ap, abs=1e-12)
 
 
+def slice_sizes(df, by=()):
+    counts = ranking.distinct_scores(df, "p", "y", by)
+    return [r["count"] for r in ranking.sliced(counts, by, 16).groupBy("slice").count().collect()]
+
+
 def test_slices_stay_even_under_clustered_scores(spark):
     # Distinct scores crowd into a millionth of the range, as rare-event scores do.
     rows = [(i % 5 == 0, i * 1e-10) for i in range(4000)] + [(True, 0.5 + i / 1e4) for i in range(400)]
     df = spark.createDataFrame([(int(y), p) for y, p in rows], "y int, p double")
-    splits = ranking.score_splits(df, "p", 16)
-    counts = ranking.with_slice(ranking.distinct_scores(df, "p", "y"), "score", splits)
-    sizes = [r["count"] for r in counts.groupBy("slice").count().collect()]
-    assert max(sizes) <= 2 * len(rows) / 16
+    sizes = slice_sizes(df)
+    assert max(sizes) <= 2 * sum(sizes) / 16
+
+
+def test_slices_stay_even_under_a_hot_score(spark):
+    # 99 of 100 rows have one score; it is one distinct score like any other.
+    df = spark.range(200_000).selectExpr(
+        "cast(id % 2 as int) y", "case when id % 100 = 0 then id / 200000.0e0 else 0.25e0 end p"
+    )
+    sizes = slice_sizes(df)
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
+
+
+def test_slices_stay_even_under_a_narrow_key(spark):
+    df = spark.range(4000).selectExpr(
+        "cast(id % 2 as int) y",
+        "id % 2 = 0 k",
+        "case when id % 2 = 0 then 0.5e0 + id * 1e-12 else id / 4000.0e0 end p",
+    )
+    sizes = slice_sizes(df, ["k"])
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
 
 
 def test_ranks_when_every_score_ties(spark):
@@ -232,9 +254,11 @@ def test_ranks_refuse_missing_scores(spark):
 
 def test_counts_beyond_bigint_products(spark):
     # 4e9 positives times 4e9 negatives overflows BIGINT; the ratio must not.
-    counts = spark.createDataFrame([(0.9, 4_000_000_000, 0), (0.1, 0, 4_000_000_000)], "score double, pos bigint, neg bigint")
-    pairs = F.col("neg").cast("double") * 4e9
-    assert counts.agg(F.sum(pairs)).first()[0] == 1.6e19
+    counts = spark.createDataFrame(
+        [(0.9, 4_000_000_000, 0), (0.1, 0, 4_000_000_000)], "score double, pos bigint, neg bigint"
+    )
+    got = ranking.rank_counts(counts).first()
+    assert (got.roc_auc, got.average_precision) == (1.0, 1.0)
 
 
 def test_metrics_record_and_comparison(spark):

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,13 @@ def test_stored_tables_go_to_the_named_folder(spark, observations):
     assert all(folder in f for f in stored.inputFiles())
     assert stored.columns == ["event_id", "state"] and set(CATEGORICAL)
     assert stored.count() == observations.count()
+
+
+def test_closing_drops_what_training_stored(spark, observations):
+    with storage.recorded() as outside:
+        result = report.train_and_evaluate(observations, "event_id", [learners.boosted_b(1)])
+    assert outside == [] and result.stored
+    result.metrics.collect()
+    result.close()
+    left = [p for p in result.stored if Path(p.removeprefix("file:")).exists()]
+    assert left == []

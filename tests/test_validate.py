@@ -128,7 +128,38 @@ def test_rows_source(spark, sample_row):
     frame = tables.from_rows(spark, [sample_row, sample_row | {"slope_deg": 12, "extra": 1}])
     assert frame.columns == list(FEATURES)
     assert [r.slope_deg for r in frame.collect()] == [38.0, 12.0]
-    with pytest.raises(ValueError, match=r"Missing features: \['ndvi', 'soil_type'\]"):
+    with pytest.raises(ValueError, match="lacks these features: ndvi, soil_type"):
         tables.from_rows(
             spark, [{k: v for k, v in sample_row.items() if k not in ("soil_type", "ndvi")}]
         )
+
+
+GOOD = '{"elevation_m":1,"slope_deg":2}'
+
+
+@pytest.mark.parametrize(
+    "tail", ['{"slope_deg":3}', " oops }", ',"x":{"y":1}', "]", ',{"_end":1}],{}', "}", " // }"]
+)
+def test_text_after_the_object_is_refused(spark, tail):
+    wanted = ("elevation_m", "slope_deg")
+    df = spark.createDataFrame([(GOOD + tail,), (GOOD + " \n",)], "record string")
+    errors = [r.errors for r in validate.check_records(df, wanted=wanted).collect()]
+    assert errors == [["elevation_m: missing", "slope_deg: missing"], []]
+    missing = [r[0] for r in df.select(validate.missing_in_record("record", wanted)).collect()]
+    assert missing == [list(wanted), []]
+
+
+def test_unreadable_member_is_missing_everywhere(spark):
+    df = spark.createDataFrame([('{"elevation_m":{"a":1,"a":2}}',)], "record string")
+    checked = validate.check_records(df, wanted=("elevation_m",)).first()
+    assert checked.errors == ["elevation_m: missing"]
+    assert df.select(validate.missing_in_record("record", ("elevation_m",))).first()[0] == ["elevation_m"]
+
+
+def test_csv_missing_markers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ndvi,land_cover\nNA,NA\n#N/A,x\n0.5,y\n null ,z\n")
+    rows = tables.read_csv(spark, str(tmp_path)).collect()
+    assert [(r.ndvi, r.land_cover) for r in rows] == [(None, "NA"), (None, "x"), (0.5, "y"), (None, "z")]
+    (tmp_path / "a.csv").write_text("ndvi\nlots\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.read_csv(spark, str(tmp_path)).collect()
