@@ -355,6 +355,8 @@ def unigram(observed: DataFrame, id_col: str) -> DataFrame:
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(known, F.lit(0))).first()
     documents = observed.filter("kind = 0").select("block", id_col, "hash", "held_out", "numbers")
     id_type = documents.schema[id_col].dataType.simpleString()
+    # As text, since pandas turns integers beside nulls into floats.
+    documents = documents.withColumn(id_col, F.col(id_col).cast("string"))
     log_all = float(np.log10(total + distinct + 1))
 
     def score(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
@@ -375,11 +377,12 @@ def unigram(observed: DataFrame, id_col: str) -> DataFrame:
         )
 
     schema = (
-        f"`{id_col}` {id_type}, hash bigint, held_out boolean, n_tokens bigint, n_known bigint, "
+        f"`{id_col}` string, hash bigint, held_out boolean, n_tokens bigint, n_known bigint, "
         "train_tokens bigint, base_score double"
     )
     right = counted.select("block", "number", "c").groupBy("block")
-    return documents.groupBy("block").cogroup(right).applyInPandas(score, schema)
+    scored = documents.groupBy("block").cogroup(right).applyInPandas(score, schema)
+    return scored.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 def byte_code(observed: DataFrame) -> Code:

@@ -40,6 +40,12 @@ def test_unigram_base_and_scores(documents):
     assert mixing.score_texts(documents([])).count() == 0
 
 
+def test_scores_beside_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (2**60 + 1, "a b"), (5, "c"), (5, "c"), (5, "d e")]
+    got = mixing.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (5, 2), (5, 2), (5, 3), (2**60 + 1, 3)]
+
+
 def test_model_is_a_probability():
     """Over all one-byte texts and the rest, probabilities of the first byte sum to one."""
     code = mixing.prefix_code(np.arange(256) ** 2 % 97)
