@@ -2,16 +2,20 @@
 
 A text, A-Z in lower case, is a sequence of bytes and an end. Each byte is a path of binary
 decisions in a prefix code, short for frequent bytes, so frequent bytes take few steps.
-Every context (``CONTEXTS``: the last bytes, or the word so far with the one before) has a
-hashed table of counts of both outcomes at each step, gathered by Spark from all training
-documents. A prediction is the log odds of those counts. Predictions are added with weights
+Every context (``CONTEXTS``: the last bytes, or the word so far with the one before) has
+counts of both outcomes at each step, gathered by Spark from all training documents. A
+prediction is the log odds of those counts. Predictions are added with weights
 from a set that a gate picks, by which contexts have been seen, and each document refines
 its weights as it is read: after every stretch (doubling in length) they move along the
 gradient of the coding cost. The cost of all decisions gives total bits, and bits per byte.
 
 The base score is the add-one unigram over tokens. A block of documents lists its distinct
 tokens once; counts are summed per token over all blocks and come back to each block, so
-no vocabulary is ever held whole in one place.
+no vocabulary is ever held whole in one place. The model goes the same way: a block lists its
+distinct pairs of a context and the byte after it, counts are summed per pair in parts dealt by
+a hash of the context, and the log odds along each byte's path come back to the blocks that
+listed it. The last bytes are kept as they are and words by 56 bits of hash, so contexts don't
+share counts, and the number of parts follows the input.
 
 Defined results: a null or empty text is an end alone; without training documents every
 prediction is even and the base knows no token; rows without an id count as held in by the
@@ -39,16 +43,14 @@ from geoscore.sources.storage import store
 #: What predicts: so many of the last bytes, and then the word so far.
 ORDERS = (3, 5)
 CONTEXTS = (*ORDERS, "word")
-#: Slots of each context's table, as a power of two.
+#: Slots of each table that :func:`costs` is given, as a power of two.
 SLOT_BITS = (20, 22, 22)
-#: Pieces that a table is summed in.
-CHUNKS = 16
-#: Tables summed together before the last sum.
-TOGETHER = 256
+#: Text whose pairs of all contexts are summed in one part.
+PART_BYTES = 16 << 20
 #: Steps of log odds kept in a byte.
 STEPS = 10
 #: Text of a block, and of a batch of the byte model.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 1 << 17
 #: Decisions in a document's first stretch.
 STRETCH = 2048
@@ -100,33 +102,30 @@ def prefix_code(counts: np.ndarray) -> Code:
     )
 
 
-def contexts(data: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """A hash of every byte's context, per kind; documents start anew at ``begins``."""
+def context(data: np.ndarray, begins: np.ndarray, kind: int | str) -> np.ndarray:
+    """Every byte's context in 56 bits; documents start anew at ``begins``."""
     n = len(data)
     first = np.zeros(n, bool)
     first[begins] = True
     index = np.arange(n, dtype=np.int32)
-    begin = np.maximum.accumulate(np.where(first, index, 0))
-    place = index - begin
-    out, recent = [], np.zeros(n, np.uint64)
-    for k in range(1, max(ORDERS) + 1):
-        byte = np.zeros(n, np.uint64)
-        byte[k:] = data[:-k]
-        byte[place < k] = 0
-        recent |= byte << np.uint64(8 * (k - 1))
-        if k in ORDERS:
-            x = (recent ^ recent >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((x >> np.uint64(32)).astype(np.uint32))
+    if kind != "word":
+        place = index - np.maximum.accumulate(np.where(first, index, 0))
+        recent = np.zeros(n, np.uint64)
+        for k in range(1, kind + 1):
+            byte = np.zeros(n, np.uint64)
+            byte[k:] = data[:-k]
+            byte[place < k] = 0
+            recent |= byte << np.uint64(8 * (k - 1))
+        return recent
     # Words start after white space, and with the document.
-    fresh = first.copy()
+    fresh = first
     fresh[1:] |= data[:-1] <= 32
     start = np.maximum.accumulate(np.where(fresh, index, 0))
     powers, inverses = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
     x = (sums[:n] - sums[start]) * inverses[start]
-    out.append((((x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32))
-    return out
+    return ((x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -141,35 +140,42 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def decisions(
-    documents: Sequence[bytes], code: Code
-) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All decisions of documents: how many each has, outcomes, and slots per context."""
+def joined(documents: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of documents, A-Z in lower case, each with its end; and how many each has."""
     data = np.frombuffer(b"".join(d.lower() + b"\xff" for d in documents), np.uint8)
-    sizes = np.array([len(d) + 1 for d in documents])
-    begins = np.cumsum(sizes) - sizes
+    return data, np.array([len(d) + 1 for d in documents])
+
+
+def steps(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The path of each byte: its length, where it begins among all steps, places in the code."""
     reps = code.lengths[data]
     ends = np.cumsum(reps, dtype=np.int32)
-    total = int(ends[-1])
-    at = np.arange(total, dtype=np.int32) + np.repeat(code.begins[data] - (ends - reps), reps)
+    at = np.arange(ends[-1], dtype=np.int32) + np.repeat(code.begins[data] - (ends - reps), reps)
+    return reps, ends - reps, at
+
+
+def costs(documents: Sequence[bytes], code: Code, tables: Sequence[np.ndarray]) -> np.ndarray:
+    """Bits of each document by log odds in hashed tables."""
+    data, sizes = joined(documents)
+    begins = np.cumsum(sizes) - sizes
+    reps, _, at = steps(data, code)
     step = code.nodes[at] * _U32(0xCC9E2D51)
-    slots = []
-    for context, width in zip(contexts(data, begins), SLOT_BITS):
-        x = (np.repeat(context, reps) ^ step) * _U32(0x1B873593)
+    inputs = []
+    for kind, width, table in zip(CONTEXTS, SLOT_BITS, tables):
+        x = context(data, begins, kind) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (np.repeat((x >> np.uint64(32)).astype(np.uint32), reps) ^ step) * _U32(0x1B873593)
         x ^= x >> _U32(16)
         x *= _U32(0x85EBCA6B)
-        slots.append(x >> _U32(32 - width))
-    return np.add.reduceat(reps, begins), code.bits[at], slots
+        inputs.append(table[x >> _U32(32 - width)].astype(np.float32))
+    return mixed(np.add.reduceat(reps, begins), code.bits[at], inputs)
 
 
-def costs(documents: Sequence[bytes], code: Code, tables: Sequence[np.ndarray]) -> np.ndarray:
-    """Bits of each document, its weights refined stretch by stretch."""
-    sizes, bit, slots = decisions(documents, code)
-    inputs = [t[s].astype(np.float32) for t, s in zip(tables, slots)]
+def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> np.ndarray:
+    """Bits of each document of so many decisions, its weights refined stretch by stretch."""
     gates = (inputs[1] != 0).astype(np.intp)
     gates += 2 * (inputs[2] != 0)
     signs = np.float32(1) - np.float32(2) * bit
-    total = np.zeros(len(documents))
+    total = np.zeros(len(sizes))
     ends = np.cumsum(sizes)
     for d, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
         weights = list(WEIGHTS.T / np.float32(STEPS))
@@ -196,17 +202,17 @@ def costs(documents: Sequence[bytes], code: Code, tables: Sequence[np.ndarray])
     return total / np.log(2)
 
 
-def observe(docs: DataFrame, id_col: str) -> DataFrame:
-    """One pass: documents as token numbers (kind 0), blocks' tokens (1), byte counts (2)."""
+def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """One pass: documents by their place in a block (kind 0), blocks' tokens (1), byte counts (2), blocks' pairs (3)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     out_schema = (
-        f"kind int, block bigint, `{id_col}` {id_type}, hash bigint, held_out boolean, numbers binary, "
-        "token binary, number int, n bigint"
+        f"kind int, block bigint, `{id_col}` {id_type}, held_out boolean, numbers binary, "
+        "token binary, number int, n bigint, text binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "block", id_col, "hash", "held_out", "numbers", "token", "number", "n"]
-        types = [pa.int32(), pa.int64(), None, pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        names = ["kind", "block", id_col, "held_out", "numbers", "token", "number", "n", "text"]
+        types = [pa.int32(), pa.int64(), None, pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
 
         def rows(n: int, given: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -214,12 +220,35 @@ def observe(docs: DataFrame, id_col: str) -> DataFrame:
             )
 
         block = TaskContext.get().partitionId() << 24
+        pack = zstandard.ZstdCompressor(level=3)
         vocabulary: dict[bytes, int] = Numbers()
         trained = np.zeros(0, np.int64)
         histogram = np.zeros(256, np.int64)
         size = 0
-
-        def close() -> pa.RecordBatch:
+        texts: list[bytes] = []
+        out: list[bool] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield tokens()
+            learned = ~np.repeat(np.array(out), [len(t) + 1 for t in texts])
+            for k, kind in enumerate(CONTEXTS):
+                keys, part, pair = pairs(texts, kind, parts)
+                n = np.bincount(pair[learned], minlength=len(keys)).astype(np.uint32)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                spans = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+                yield rows(
+                    len(spans),
+                    {
+                        "kind": pa.array(np.full(len(spans), 3, np.int32)),
+                        "block": pa.array(np.full(len(spans), block)),
+                        id_col: pa.nulls(len(spans), types[2]),
+                        "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
+                        "token": pa.array([packed(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
+                        "number": pa.array((k * parts + part[cuts]).astype(np.int32)),
+                    },
+                )
+
+        def tokens() -> pa.RecordBatch:
             n = len(vocabulary)
             found = np.zeros(n, np.int64)
             found[: len(trained)] = trained
@@ -238,11 +267,7 @@ def observe(docs: DataFrame, id_col: str) -> DataFrame:
         for part in rows_of(batches, BATCH_BYTES * 8):
             types[2] = part.column(0).type
             documents, held = raw(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
-            numbers = []
-            for text in documents:
-                coded = list(map(vocabulary.__getitem__, words(text)))
-                coded.append(vocabulary[b""])  # the end
-                numbers.append(np.array(coded, np.int32))
+            numbers = [numbered(text, vocabulary) for text in documents]
             learned = [x for x, h in zip(numbers, held) if not h]
             if learned:
                 fresh = np.bincount(np.concatenate(learned), minlength=len(vocabulary))
@@ -257,19 +282,22 @@ def observe(docs: DataFrame, id_col: str) -> DataFrame:
                     "kind": pa.array(np.zeros(n, np.int32)),
                     "block": pa.array(np.full(n, block)),
                     id_col: part.column(0),
-                    "hash": part.column(3),
                     "held_out": part.column(2),
-                    "numbers": pa.array([x.tobytes() for x in numbers], pa.binary()),
+                    "number": pa.array(np.arange(len(texts), len(texts) + n, dtype=np.int32)),
+                    "text": pa.array(map(pack.compress, documents), pa.binary()),
                 },
             )
+            texts += documents
+            out += held.tolist()
             size += part.nbytes
             if size >= BLOCK_BYTES:
-                yield close()
+                yield from close()
                 block, size = block + 1, 0
+                texts, out = [], []
                 vocabulary, trained = Numbers(), np.zeros(0, np.int64)
         if types[2] is not None:
             if vocabulary:
-                yield close()
+                yield from close()
             yield rows(
                 256,
                 {
@@ -291,60 +319,138 @@ class Numbers(dict):
         return n
 
 
-def tables(docs: DataFrame, prefix: Code) -> list[np.ndarray]:
-    """Log odds of every slot, in ``STEPS`` per unit: a byte each, so of fixed size."""
-    shared = share(docs, prefix)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(2 << width, np.int32) for width in SLOT_BITS]
-        code = shared()
-        one = np.int32(1)  # of the table's own type, which numpy adds ten times faster
-        for part in rows_of(batches, BATCH_BYTES):
-            _, bit, slots = decisions(raw(part.column(1)), code)
-            for total, slot in zip(totals, slots):
-                np.add.at(total, slot.astype(np.int64) * 2 + bit, one)
-        group = TaskContext.get().partitionId() // TOGETHER
-        yield from _packed(
-            ((k, c, group, piece) for k, t in enumerate(totals) for c, piece in enumerate(np.split(t, CHUNKS)))
-        )
+def numbered(text: bytes, vocabulary: Numbers) -> np.ndarray:
+    """The numbers of a text's tokens and of its end; new tokens get the next ones."""
+    coded = list(map(vocabulary.__getitem__, words(text)))
+    coded.append(vocabulary[b""])
+    return np.array(coded, np.int32)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for part in batches:
-            for k, c, group, packed in zip(*(col.to_pylist() for col in part.columns)):
-                piece = np.frombuffer(unpack.decompress(packed), np.int32)
-                key = (k, c, group)
-                sums[key] = sums[key] + piece if key in sums else piece
-        yield from _packed((*key, s) for key, s in sums.items())
-
-    schema = "context int, chunk int, together int, counts binary"
-    key = ["context", "chunk", "together"]
-    parts = len(CONTEXTS) * CHUNKS
-    partial = docs.mapInArrow(count, schema).repartition(parts, *key).mapInArrow(add, schema)
-    summed = partial.withColumn("together", F.lit(0)).repartition(parts, *key).mapInArrow(add, schema)
-    out = [np.zeros(1 << width, np.int8) for width in SLOT_BITS]
-    unpack = zstandard.ZstdDecompressor()
-    for row in store(summed, "lm-tables").toLocalIterator():
-        counts = np.frombuffer(unpack.decompress(row["counts"]), np.int32).reshape(-1, 2) + 0.4
-        odds = np.rint(np.log(counts[:, 1] / counts[:, 0]) * STEPS)
-        at = row["chunk"] * len(odds)
-        out[row["context"]][at : at + len(odds)] = np.clip(odds, -127, 127)
-    return out
-
-
-def _packed(rows: Iterator[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for k, c, group, counts in rows:
-        columns = [pa.array([x], pa.int32()) for x in (k, c, group)]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array([pack.compress(counts.tobytes())], pa.binary())],
-            names=["context", "chunk", "together", "counts"],
-        )
 
+def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a context and the byte after it, by part and pair; each one's part; each byte's pair.
 
-def unigram(observed: DataFrame, id_col: str) -> DataFrame:
-    """Per document n_tokens, n_known, train_tokens and base_score."""
+    A pair is the context and, in the low 8 bits, the byte.
+    """
+    keys, end = np.empty(sum(map(len, documents)) + len(documents), np.uint64), 0
+    for few in batches_of(documents):
+        data, sizes = joined(few)
+        keys[end : end + len(data)] = context(data, np.cumsum(sizes) - sizes, kind) << np.uint64(8) | data
+        end += len(data)
+    found = pa.array(keys).dictionary_encode()
+    del keys
+    values, index = found.dictionary.to_numpy(), found.indices.to_numpy()
+    x = (values >> np.uint64(8)) * np.uint64(0xD1342543DE82EF95)
+    part = ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(values)
+    order = order[np.argsort(part[order].astype(np.min_scalar_type(parts)), kind="stable")]
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return values[order], part[order].astype(np.int64), place[index]
+
+
+def batches_of(documents: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+    """Documents in runs of about ``BATCH_BYTES``, or one."""
+    begin = size = 0
+    for i, d in enumerate(documents):
+        if size and size + len(d) > BATCH_BYTES:
+            yield documents[begin:i]
+            begin, size = i, 0
+        size += len(d) + 1
+    if begin < len(documents):
+        yield documents[begin:]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the lowest byte of all first."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums the counts of equal pairs. Log odds, in ``STEPS`` per unit, along each pair's path;
+    where each path begins and its length; and the pair of every key."""
+    # Bytes in the order of their paths, so that those below a node are side by side.
+    paths = [tuple(code.bits[b : b + n].tolist()) for b, n in zip(code.begins, code.lengths)]
+    symbols = np.array(sorted(range(len(paths)), key=paths.__getitem__), np.uint8)
+    ranks = np.argsort(symbols).astype(np.uint64)
+    low = np.uint64(255)
+    found, inverse = np.unique((keys & ~low) | ranks[keys & low], return_inverse=True)
+    n = np.zeros(len(found), np.int64)
+    np.add.at(n, inverse, counts.astype(np.int64))
+    symbol, known = symbols[found & low], found >> np.uint64(8)
+    lengths = code.lengths[symbol]
+    begins = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = np.zeros(int(lengths.sum()), np.int8)
+    for level in range(int(lengths.max(initial=0))):
+        live = np.flatnonzero(lengths > level)
+        at = code.begins[symbol[live]] + level
+        node, c, m = code.nodes[at], known[live], n[live]
+        fresh = np.ones(len(live), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (node[1:] != node[:-1])
+        first = np.flatnonzero(fresh)
+        one = np.add.reduceat(m * code.bits[at], first)
+        none = np.add.reduceat(m, first) - one
+        odds = np.clip(np.rint(np.log((one + 0.4) / (none + 0.4)) * STEPS), -127, 127).astype(np.int8)
+        out[begins[live] + level] = odds[np.cumsum(fresh) - 1]
+    return out, begins, lengths, inverse
+
+
+def model(observed: DataFrame, code: Code) -> DataFrame:
+    """Per block and part, the log odds along the paths of the block's pairs, in their order."""
+    shared = share(observed, code)
+
+    def add(part: pa.Table) -> pa.Table:
+        code = shared()
+        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in part["token"].to_pylist()]
+        counts = [unpacked(x, np.uint32) for x in part["numbers"].to_pylist()]
+        odds, begins, lengths, pair = path_odds(np.concatenate(keys), np.concatenate(counts), code)
+        out, end = [], 0
+        for k in keys:
+            mine = pair[end : end + len(k)]
+            end += len(k)
+            reps = lengths[mine]
+            ends = np.cumsum(reps)
+            at = np.arange(ends[-1]) + np.repeat(begins[mine] - (ends - reps), reps)
+            out.append(zstandard.ZstdCompressor(level=1).compress(odds[at].tobytes()))
+        columns = [part["block"], part["number"], pa.array(out, pa.binary())]
+        return pa.table(columns, names=["block", "part", "odds"])
+
+    listed = observed.filter("kind = 3").select("block", "number", "token", "numbers")
+    return listed.groupBy("number").applyInArrow(add, "block bigint, part int, odds binary")
+
+
+def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int, code: Code) -> np.ndarray:
+    """Bits of each document of a block by what came back of its pairs, per part."""
+    known = []
+    for k, kind in enumerate(CONTEXTS):
+        values, part, pair = pairs(documents, kind, parts)
+        lengths = code.lengths[values & np.uint64(255)]
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
+        unpack = zstandard.ZstdDecompressor()
+        own = b"".join(unpack.decompress(odds[k * parts + p]) for p in np.unique(part).tolist())
+        if len(own) != lengths.sum():
+            raise ValueError("log odds don't fit the pairs of the block")
+        known.append((np.frombuffer(own, np.int8), begins[pair]))
+        del values, part, pair
+    out, begin = [], 0
+    for few in batches_of(documents):
+        data, sizes = joined(few)
+        reps, starts, at = steps(data, code)
+        index = np.arange(len(at), dtype=np.int32)
+        now = slice(begin, begin + len(data))
+        inputs = [o[np.repeat(b[now] - starts, reps) + index].astype(np.float32) for o, b in known]
+        out.append(mixed(np.add.reduceat(reps, np.cumsum(sizes) - sizes), code.bits[at], inputs))
+        begin = now.stop
+    return np.concatenate(out)
+
+
+def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFrame:
+    """Per document n_tokens, n_known, train_tokens and the scores."""
     tokens = observed.filter("kind = 1").select("block", "token", "number", "n")
     by_token = Window.partitionBy("token")
     counted = tokens.withColumn("c", F.sum("n").over(by_token)).withColumn(
@@ -353,36 +459,46 @@ def unigram(observed: DataFrame, id_col: str) -> DataFrame:
     counted = store(counted.select("block", "number", "c", "n", "first"), "lm-counts")
     known = F.sum((F.col("first") & (F.col("c") > 0)).cast("bigint"))
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(known, F.lit(0))).first()
-    documents = observed.filter("kind = 0").select("block", id_col, "hash", "held_out", "numbers")
+    documents = observed.filter("kind = 0").select("block", id_col, "held_out", "number", "text")
     id_type = documents.schema[id_col].dataType.simpleString()
     # As text, since pandas turns integers beside nulls into floats.
     documents = documents.withColumn(id_col, F.col(id_col).cast("string"))
     log_all = float(np.log10(total + distinct + 1))
 
-    def score(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    shared = share(observed, code)
+
+    def score(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        odds = back[back["odds"].notna()]
+        counts = back[back["odds"].isna()]
+        # In the order of the first pass, so that tokens get the same numbers.
+        docs = docs.sort_values("number", ignore_index=True)
+        texts = list(map(zstandard.ZstdDecompressor().decompress, docs["text"]))
+        bits = block_costs(texts, dict(zip(odds["part"].astype(int), odds["odds"])), parts, shared())
         c = np.zeros(len(counts), np.int64)
-        c[counts["number"].to_numpy()] = counts["c"].to_numpy()
+        c[counts["number"].to_numpy(int)] = counts["c"].to_numpy(np.int64)
         logs = np.log10(c + 1.0) - log_all
-        numbers = [np.frombuffer(x, np.int32) for x in docs["numbers"]]
+        vocabulary = Numbers()
+        numbers = [numbered(text, vocabulary) for text in texts]
         return pd.DataFrame(
             {
                 id_col: docs[id_col],
-                "hash": docs["hash"],
                 "held_out": docs["held_out"],
                 "n_tokens": [len(x) for x in numbers],
                 "n_known": [int((c[x] > 0).sum()) for x in numbers],
                 "train_tokens": total,
                 "base_score": [float(logs[x].sum()) for x in numbers],
+                "score": bits * -np.log10(2),
+                "bits_per_byte": bits / np.array([len(t) + 1 for t in texts]),
             }
         )
 
     schema = (
-        f"`{id_col}` string, hash bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-        "train_tokens bigint, base_score double"
+        f"`{id_col}` string, held_out boolean, n_tokens bigint, n_known bigint, "
+        "train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
-    right = counted.select("block", "number", "c").groupBy("block")
-    scored = documents.groupBy("block").cogroup(right).applyInPandas(score, schema)
-    return scored.withColumn(id_col, F.col(id_col).cast(id_type))
+    right = counted.select("block", "number", "c").unionByName(model(observed, code), allowMissingColumns=True)
+    out = documents.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(score, schema)
+    return out.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 def byte_code(observed: DataFrame) -> Code:
@@ -406,33 +522,8 @@ def score_texts(
     held_out = crc_remainder(id_col, 7) == 2 if held_out is None else held_out
     rows = docs.select(
         F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out")
-    ).withColumn("hash", F.xxhash64("text"))
-    observed = store(observe(rows, id_col), "lm-tokens", ["kind"])
-    code = byte_code(observed)
-    model = tables(rows.filter(~F.col("held_out")).select(id_col, "text"), code)
-    shared = share(docs, (code, model))
-    id_type = rows.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model = shared()
-        for part in rows_of(batches, BATCH_BYTES):
-            documents = raw(part.column(1))
-            bits = costs(documents, code, model)
-            per_byte = bits / np.array([len(d) + 1 for d in documents])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(bits * -np.log10(2)), pa.array(per_byte)],
-                names=[part.schema.names[0], "hash", "score", "bits_per_byte"],
-            )
-
-    scored = rows.select(id_col, "text", "hash").mapInArrow(
-        run, f"`{id_col}` {id_type}, hash bigint, score double, bits_per_byte double"
-    )
-    # Rows that repeat an id and a text have one score.
-    scored = scored.groupBy(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).agg(
-        F.min("score").alias("score"), F.min("bits_per_byte").alias("bits_per_byte")
-    )
-    base = unigram(observed, id_col)
-    same = base[id_col].eqNullSafe(scored["_id"]) & (base["hash"] == scored["_hash"])
-    return base.join(scored, same).select(
-        id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    parts = 1 + size // PART_BYTES
+    observed = store(observe(rows, id_col, parts), "lm-tokens", ["kind"])
+    return scored(observed, id_col, parts, byte_code(observed))

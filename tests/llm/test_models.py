@@ -75,6 +75,52 @@ def test_learning_lowers_the_cost(documents):
     assert rows and all(r.bits_per_byte < 3.2 for r in rows)
 
 
+def counted_odds(texts, code):
+    """Counts of both outcomes by (kind, context, steps so far), held in a dictionary; log odds of a byte's step."""
+    counts = Counter()
+
+    def steps(text):
+        data = text.lower() + b"\xff"
+        for i, b in enumerate(data):
+            start = max([j + 1 for j in range(i) if data[j] <= 32], default=0)
+            path = tuple(code.bits[code.begins[b] : code.begins[b] + code.lengths[b]].tolist())
+            for k in range(len(path)):
+                yield [(c, path[:k]) for c in ((3, data[max(i - 3, 0) : i]), (5, data[max(i - 5, 0) : i]), ("word", data[start:i]))], path[k]
+
+    for t in texts:
+        for keys, bit in steps(t):
+            counts.update((key, bit) for key in keys)
+
+    def inputs(text):
+        odds = [[np.rint(np.log((counts[k, 1] + 0.4) / (counts[k, 0] + 0.4)) * 10) for k in keys] for keys, _ in steps(text)]
+        return np.clip(np.array(odds, np.float32).T, -127, 127), np.array([bit for _, bit in steps(text)])
+
+    return inputs
+
+
+def test_scores_by_exact_counts(documents):
+    rng = random.Random(8)
+    texts = [prose(rng.randint(1, 60), rng) for _ in range(40)] + ["", "a\n b"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    learned = [t.encode() for t, h in zip(texts, held) if not h]
+    code = mixing.prefix_code(np.bincount(np.frombuffer(b"".join(t.lower() + b"\xff" for t in learned), np.uint8), minlength=256))
+    inputs = counted_odds(learned, code)
+    for r in mixing.score_texts(documents(texts)).collect():
+        odds, bits = inputs(texts[r.doc_id].encode())
+        want = mixing.mixed(np.array([len(bits)]), bits.astype(np.uint8), list(odds))[0]
+        assert abs(r.score / -math.log10(2) - want) < 1e-3
+
+
+def test_the_model_grows_with_the_texts():
+    """More contexts than any fixed table of 2^20 slots holds keep counts of their own."""
+    data = np.random.default_rng(5).integers(97, 123, (300, 6000)).astype(np.uint8)
+    texts = [bytes(d) for d in data]
+    keys, part, pair = mixing.pairs(texts, 3, 7)
+    assert len(keys) > 3 << 17 and len(set(part.tolist())) == 7
+    assert len(keys) == len({(t + b"\xff")[max(i - 3, 0) : i + 1] if i >= 3 else (i, t[: i + 1]) for t in texts for i in range(len(t) + 1)})
+    assert len(mixing.pairs(texts, "word", 7)[0]) > 1 << 20
+
+
 def toxic_set(rng, n):
     bad = ["idiotic", "scummy", "trashy"]
     texts, labels = [], []
