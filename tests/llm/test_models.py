@@ -121,6 +121,15 @@ def test_the_model_grows_with_the_texts():
     assert len(mixing.pairs(texts, "word", 7)[0]) > 1 << 20
 
 
+def test_counts_beyond_32_bits():
+    code = mixing.prefix_code(np.ones(256, int))
+    keys = np.array([[7 << 8 | 97], [7 << 8 | 98]] * 2, np.uint64).ravel()
+    odds, begins, lengths, pair = mixing.path_odds(keys, np.array([2**32 - 1, 1, 2**32 - 1, 1], np.uint32), code)
+    path = odds[begins[pair[0]] :][: lengths[pair[0]]]
+    taken = code.bits[code.begins[97] :][: code.lengths[97]].astype(int) * 2 - 1
+    assert pair[0] == pair[2] and (path * taken == 127).all()
+
+
 def toxic_set(rng, n):
     bad = ["idiotic", "scummy", "trashy"]
     texts, labels = [], []
