@@ -2,8 +2,9 @@
 
 A document window of an item's length whose shingles are at least ``SIMILAR`` like the
 item's is a leak. Such a window shares at least that part of the item's shingles, so the
-shingles of both are joined first and tell where windows can start: sharing none rules a
-window out. Each window left gets a SimHash fingerprint and meets the items of its length
+shingles of both are joined first and tell where windows can start: at a shared shingle, or
+in line with one. A window with too few shared shingles for the similarity, wherever in the
+item they are, is ruled out. Each window left gets a SimHash fingerprint and meets the items of its length
 through a multi-index over ``BLOCKS`` blocks of the fingerprint: if two fingerprints
 differ in at most ``RADIUS`` bits, one of their blocks differs in at most
 ``RADIUS // BLOCKS``, and items are listed under all block values that near. What comes
@@ -31,8 +32,7 @@ BITS = 64
 BLOCKS = 8
 #: Fingerprints of windows at the limit differ in about 10 bits, give or take 3.
 RADIUS = 23
-#: A window start needs this part of the item's shingles in line with it; edits that keep
-#: the similarity split a copy into fewer pieces than that allows.
+#: The SQL that checks this asks for this part of an item's shingles in line with a window start.
 IN_LINE = 0.2
 #: Most item shingles that are sent to every executor (16 bytes each); beyond, they are shuffled.
 SENT = 2_000_000
@@ -137,7 +137,8 @@ def window_starts(docs: DataFrame, items: DataFrame) -> DataFrame:
         total = F.size("_words").alias("_total")
         return tokens.select("_row", total, F.posexplode(hashes(F.col("_words"), k)).alias("_i", "_hash"))
 
-    start = F.greatest(F.least(F.col("_i") - F.col("_j"), F.col("_total") - F.col("_length")), F.lit(0))
+    last = F.greatest(F.col("_total") - F.col("_length"), F.lit(0))
+    start = F.greatest(F.least(F.col("_i") - F.col("_j"), last), F.lit(0))
     met = None
     for k in sizes or [SHINGLE]:
         seeds = listed(k)
@@ -145,10 +146,19 @@ def window_starts(docs: DataFrame, items: DataFrame) -> DataFrame:
             seeds = F.broadcast(seeds)
         part = seen(k).join(seeds, "_hash")
         met = part if met is None else met.unionByName(part)
+    # Of two sets of n and m, similar ones share at least this: 0.8 / 1.8 of n + m.
+    inside = F.greatest(F.least(F.col("_total"), F.col("_length")) - (SHINGLE - 1), F.lit(1))
+    needed = (F.col("_n") + inside) * (SIMILAR / (1 + SIMILAR)) - 1e-6
+    # A window that starts at no shared shingle loses none by moving on to the next.
+    starts = F.array_union("_starts", F.transform("_hits", lambda i: F.least(i, last)))
+    full = F.filter(
+        starts, lambda s: F.size(F.filter("_hits", lambda i: (i >= s) & (i < s + inside))) >= needed
+    )
     return (
-        met.groupBy("_row", "_item", "_length", "_n", start.alias("_start"))
-        .count()
-        .filter(F.col("count") >= F.col("_n") * IN_LINE)
+        met.groupBy("_row", "_item", "_length", "_n", "_total")
+        .agg(F.collect_set("_i").alias("_hits"), F.collect_set(start).alias("_starts"))
+        .filter(F.size("_hits") >= needed)
+        .select("_row", "_length", F.explode(full).alias("_start"))
         .groupBy("_row")
         .agg(F.collect_set(F.struct("_length", "_start")).alias("_windows"))
     )

@@ -179,6 +179,42 @@ def test_decontamination(spark, documents):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_in_many_pieces(spark, documents):
+    """Copies that no single alignment holds a fifth of, and blocks in another order."""
+    rng = random.Random(10)
+    names = iter(f"{rng.choice(WORDS)}{i}" for i in range(10**6))
+    items = [[next(names) for _ in range(n)] for n in (200, 500)]
+    around = [next(names) for _ in range(80)]
+    texts, pairs = [], set()
+    for k, item in enumerate(items):
+        n = len(item)
+
+        def pieces(m):
+            return [item[n * p // m : n * (p + 1) // m] for p in range(m)]
+
+        inserted = [w for x in pieces(n // 40) for w in [*x, next(names)]]
+        for body in (inserted, sum(pieces(5)[::-1], []), sum(pieces(4)[::-1], [])):
+            pairs.add((len(texts), k))
+            texts.append(" ".join([*around, *body, *around]))
+        texts.append(" ".join([*around, *(w for x in pieces(n // 10) for w in [*x, next(names)]), *around]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(documents(texts), bench).collect()}
+
+    def grams(tokens):
+        return {tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)}
+
+    want = {}
+    for d, t in enumerate(texts):
+        tokens = t.split()
+        for k, item in enumerate(items):
+            g = grams(item)
+            windows = [grams(tokens[s : s + len(item)]) for s in range(max(len(tokens) - len(item), 0) + 1)]
+            best = max(len(g & w) / len(g | w) for w in windows)
+            if best >= 0.8:
+                want[d, k] = best
+    assert set(want) == pairs and got == want
+
+
 def test_near_block_values_cover_the_radius():
     """Any two fingerprints within the radius share a listed block value."""
     rng = random.Random(2)
