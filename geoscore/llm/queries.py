@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscore.llm import chat, decontaminate, mixing, neardup, neighbours, oracle, personal, pieces, repeats, secrets, toxicity
+from geoscore.llm import (
+    align,
+    chat,
+    decontaminate,
+    language,
+    mixing,
+    neardup,
+    neighbours,
+    oracle,
+    personal,
+    pieces,
+    repeats,
+    runs,
+    secrets,
+    toxicity,
+)
 from geoscore.llm.common import table
 
 
@@ -68,6 +83,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted().alias("text"))
+    return runs.digests(runs.periodic_runs(docs))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predictions(language.predict(docs, language.fit(docs.filter(~language.held_out()))))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    paths = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    return align.digests(align.align(docs, *paths, public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -79,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
+    "op11_runs": op11_runs,
+    "op12_language": op12_language,
+    "op13_alignment": op13_alignment,
 }
 #: The others learn from data or follow a vocabulary file; tests hold them against brute force.
 ORACLE: dict[str, str] = {
