@@ -30,12 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
-import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from geoscore.llm.common import rows_of, share, texts
 from geoscore.sources.storage import store
@@ -59,6 +57,10 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str, pattern: str) -> None:
+        # Loaded by tasks alone; the driver has no use for the libraries.
+        import tiktoken
+        from tokenizers import Tokenizer
+
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         model = json.loads(self.library.to_str())["model"]
@@ -93,6 +95,8 @@ class PieceTokenizer:
     """A sentencepiece model: ids of the text, before which it puts a space."""
 
     def __init__(self, path: str) -> None:
+        import sentencepiece
+
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.library
         self.bytes = [
@@ -242,11 +246,10 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: s
     """One pass: documents with ids and cuts (kind 0), and each block's distinct pairs (kind 1)."""
     rows = texts(docs, id_col, text_col)
     id_type = rows.schema[id_col].dataType.simpleString()
-    names = ["kind", "block", id_col, "a_ids", "b_ids", "a_cuts", "b_cuts", "pair", "n"]
-    lists = pa.list_(pa.int32())
+    names = ["kind", "block", id_col, "tokens", "pair", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), None, lists, lists, lists, lists, pa.int64(), pa.int64()]
+        types = [pa.int32(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64()]
         a, b = ByteTokenizer(path_a, pattern), PieceTokenizer(path_b)
         size_a, size_b = (np.array([len(x) for x in t.bytes]) for t in (a, b))
         if max(len(size_a), len(size_b)) > 1 << ID_BITS:
@@ -257,10 +260,6 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: s
         def out(n: int, given: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names=names)
 
-        def listed(arrays: list[np.ndarray]) -> pa.Array:
-            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32)))
-
         def close() -> pa.RecordBatch:
             keys, inverse = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([n for _, n in pairs]), len(keys)).astype(np.int64)
@@ -282,8 +281,9 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: s
             ids_b = [np.array(i, np.int32) for i in b.encode(words)]
             for k, text in enumerate(words):
                 whole = b" " + text.encode()
-                spelt = (b"".join(map(t.bytes.__getitem__, i[k].tolist())) for t, i in ((a, ids_a), (b, ids_b)))
-                if not text or any(s != whole for s in spelt):
+                # A's tokens stand for bytes one by one; only whole tokens can be missing.
+                spelt = b"".join(map(b.bytes.__getitem__, ids_b[k].tolist()))
+                if not text or spelt != whole or size_a[ids_a[k]].sum() != len(whole):
                     ids_a[k] = ids_b[k] = np.zeros(0, np.int32)
             cuts = merged(ids_a, ids_b, size_a, size_b)
             n = part.num_rows
@@ -293,10 +293,7 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: s
                     "kind": pa.array(np.zeros(n, np.int32)),
                     "block": pa.array(np.full(n, block)),
                     id_col: part.column(0),
-                    "a_ids": listed(ids_a),
-                    "b_ids": listed(ids_b),
-                    "a_cuts": listed([c[:, 0] for c in cuts]),
-                    "b_cuts": listed([c[:, 1] for c in cuts]),
+                    "tokens": pa.array(map(packed, ids_a, ids_b, cuts), pa.binary()),
                 },
             )
             pairs.append(_pairs(ids_a, ids_b, cuts))
@@ -307,11 +304,25 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: s
         if pairs:
             yield close()
 
-    return rows.mapInArrow(
-        run,
-        f"kind int, block bigint, `{id_col}` {id_type}, a_ids array<int>, b_ids array<int>, "
-        "a_cuts array<int>, b_cuts array<int>, pair bigint, n bigint",
-    )
+    return rows.mapInArrow(run, f"kind int, block bigint, `{id_col}` {id_type}, tokens binary, pair bigint, n bigint")
+
+
+def packed(ids_a: np.ndarray, ids_b: np.ndarray, cuts: np.ndarray) -> bytes:
+    """A document's ids and the sizes of its groups, each in as few bytes as the largest needs."""
+    sizes = np.diff(cuts, axis=0, prepend=np.zeros((1, 2), cuts.dtype))
+    arrays = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in (ids_a, ids_b, sizes[:, 0], sizes[:, 1])]
+    head = np.array([(len(x), x.itemsize) for x in arrays], np.int64)
+    return zstandard.compress(head.tobytes() + b"".join(x.tobytes() for x in arrays), 3)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(data)
+    head, at, arrays = np.frombuffer(data, np.int64, 8).reshape(4, 2), 64, []
+    for n, width in head.tolist():
+        arrays.append(np.frombuffer(data, f"u{width}", n, at).astype(np.int32))
+        at += n * width
+    ids_a, ids_b, *sizes = arrays
+    return ids_a, ids_b, np.cumsum(np.stack(sizes, axis=1), axis=0, dtype=np.int32)
 
 
 def counts(listed: DataFrame) -> DataFrame:
@@ -341,14 +352,13 @@ def align(
     id_type = rows.schema[id_col].dataType.simpleString()
     listed = rows.filter("kind = 1").select(F.col("block").alias("home"), "pair", "n")
     back = listed.select("home", "pair").join(counts(listed), "pair")
-    documents = rows.filter("kind = 0").select("block", id_col, "a_ids", "b_ids", "a_cuts", "b_cuts")
+    documents = rows.filter("kind = 0").select("block", id_col, "tokens")
 
     def weigh(docs: pa.Table, back: pa.Table) -> pa.Table:
         order = np.argsort(back["pair"].to_numpy())
         keys = back["pair"].to_numpy()[order]
         count, best = back["count"].to_numpy()[order], back["best"].to_numpy(zero_copy_only=False)[order]
-        a, b, ca, cb = (_arrays(docs[c]) for c in ("a_ids", "b_ids", "a_cuts", "b_cuts"))
-        cuts = [np.stack(c, axis=1) for c in zip(ca, cb)]
+        a, b, cuts = map(list, zip(*map(unpacked, docs["tokens"].to_pylist())))
         totals = np.zeros((3, docs.num_rows), np.int64)
         for run in _documents(cuts):
             joined, owner = _together(a[run], b[run], cuts[run])
@@ -356,10 +366,14 @@ def align(
                 at = np.searchsorted(keys, key)
                 for total, weight in zip(totals, (1, best[at], count[at])):
                     np.add.at(total[run], owner[group], times * weight)
-        columns = [docs[c] for c in docs.column_names if c != "block"]
-        return pa.table([*columns, *map(pa.array, totals)], names=[*names[1:], "n_links", "n_best", "count_sum"])
+        columns = [docs[id_col], *map(listed, (a, b, [c[:, 0] for c in cuts], [c[:, 1] for c in cuts]))]
+        return pa.table([*columns, *map(pa.array, totals)], names=names)
+
+    def listed(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
 
-    names = documents.columns
+    names = [id_col, "a_ids", "b_ids", "a_cuts", "b_cuts", "n_links", "n_best", "count_sum"]
     schema = (
         f"`{id_col}` {id_type}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, "
         "n_links bigint, n_best bigint, count_sum bigint"

@@ -11,7 +11,8 @@ landmarks', and the kernels by the weights of all languages.
 
 Training reads a bounded sample: at most ``Settings.per_language`` texts of each language,
 those with the smallest hashes, found without bringing a language to one task: the share
-of its rows that is looked at follows from their number. Texts never leave the executors:
+of its rows that is looked at follows from their number. More than ``MOST`` languages are
+refused, so numbers and weights per language have a proven bound. Texts never leave the executors:
 landmarks come to the driver as bits and the sample as sums of ``landmarks`` squared.
 
 The score is the language's share in a softmax of ``Settings.sharpness`` times all values.
@@ -42,6 +43,8 @@ BATCH_BYTES = 1 << 20
 #: Texts in one product.
 TOGETHER = 256
 UNKNOWN = "und"
+#: Languages that can be told apart; more fail.
+MOST = 4096
 #: A-Z to a-z; bytes of letters beyond ASCII as they are; all else to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -103,9 +106,13 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     """``lang``, ``text``, ``h`` and ``rank`` of at most so many texts of each language."""
     hashed = rows.select("lang", "text", F.xxhash64("id", "text").alias("h"))
     counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    known = counts.limit(MOST + 1).collect()
+    if len(known) > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    counts = rows.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in known], "lang string, n bigint")
     # Twice the number wanted falls below this share of the hashes, or all do.
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
-    few = hashed.join(counts, "lang").filter(place * F.col("n") < 2.0 * per_language)
+    few = hashed.join(F.broadcast(counts), "lang").filter(place * F.col("n") < 2.0 * per_language)
     few = few.dropDuplicates(["lang", "h"])  # rows that repeat id and text
     by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
     rank = F.row_number().over(by_hash).alias("rank")

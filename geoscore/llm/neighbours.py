@@ -2,8 +2,8 @@
 
 Vectors get one more component that brings all to the norm of the longest; among those,
 the largest inner product is the smallest Euclidean distance. Each shard of vectors is
-built into a tree: a vantage point, the median of the distances to it, the nearer half and
-the farther half. A block of queries goes down a tree together; a query skips a half that,
+built into a tree: a vantage point, the nearer half by rank of distance to it with the largest
+distance there, and the farther half with the smallest. A block of queries goes down a tree together; a query skips a half that,
 by the triangle inequality, can hold nothing nearer than its k-th best so far. ``factor``
 multiplies the inequality's bound: 1 is exact, more skips more.
 
@@ -42,18 +42,23 @@ class Tree:
         self.root = self._build(np.arange(len(vectors)))
 
     def _build(self, rows: np.ndarray) -> tuple:
+        """Halves by rank, so ties at one distance can't make a half too small."""
         if len(rows) <= LEAF:
             return (rows,)
         point = rows[len(rows) // 2]
         distance = np.sqrt(((self.vectors[rows] - self.vectors[point]) ** 2).sum(1))
-        radius = np.median(distance)
-        inner = distance < radius
-        if not inner.any():  # half of all are at one distance: cut behind them
-            inner = distance <= radius
-            if inner.all():
-                return (rows,)
-            radius = distance[~inner].min()
-        return point, radius, self._build(rows[inner]), self._build(rows[~inner])
+        order = np.argsort(distance, kind="stable")
+        rows, distance, half = rows[order], distance[order], len(rows) // 2
+        inner, outer = self._build(rows[:half]), self._build(rows[half:])
+        return point, distance[half - 1], distance[half], inner, outer
+
+
+def measure(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on."""
+    total = np.zeros(len(left))
+    for d in range(left.shape[1]):
+        total += left[:, d] * right[:, d]
+    return total
 
 
 class Search:
@@ -83,18 +88,17 @@ class Search:
         if len(node) == 1:
             self._leaf(node[0], q)
             return
-        point, radius, inner, outer = node
+        point, low, high, inner, outer = node
         place = self.tree.vectors[point]
         gap = self.square[q] + self.norm - 2 * self.queries[q] @ place
         distance = np.sqrt(np.maximum(gap, 0))
-        near = distance < radius
-        bound = self.factor * np.abs(distance - radius)
+        near = 2 * distance < low + high
         self._visit(inner, q[near])
         self._visit(outer, q[~near])
         # Then the other half, where the bound leaves a chance.
-        for side, other in ((near, outer), (~near, inner)):
+        for side, other, bound in ((near, outer, high - distance), (~near, inner, distance - low)):
             rest = q[side]
-            self._visit(other, rest[bound[side] <= self._reach(rest)])
+            self._visit(other, rest[self.factor * bound[side] <= self._reach(rest)])
 
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         for start in range(0, len(rows), 1024):  # equal vectors can make a leaf large
@@ -106,7 +110,7 @@ class Search:
             worst = self.score[q, -1]
             slack = 1e-9 * (1 + np.sqrt(self.square[q] * self.norm))
             at, place = np.nonzero(rough >= (worst - slack)[:, None])
-            exact = np.einsum("nd,nd->n", self.queries[q[at]], base[place], optimize=False)
+            exact = measure(self.queries[q[at]], base[place])
             good = (exact >= worst[at]) & (self.own[q[at]] != ids[place])
             at, place, exact = at[good], place[good], exact[good]
             if not len(at):
@@ -173,10 +177,7 @@ def nearest(
         at, place = np.nonzero(found != NOBODY)
         row_of = pd.Series(np.arange(len(base)), index=base["_id"])
         hits = row_of.loc[found[at, place]].to_numpy()
-        # The measure itself, on the vectors as given, summed from the first component on.
-        score = np.zeros(len(at))
-        for d in range(x.shape[1] - 1):
-            score += q[at, d] * x[hits, d]
+        score = measure(q[at, :-1], x[hits, :-1])  # on the vectors as given
         return pd.DataFrame({"query_id": own[at], "vec_id": found[at, place], "score": score})
 
     met = left.cogroup(right).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")

@@ -213,6 +213,50 @@ def test_neighbours_are_exact(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_equidistant_vectors_build_a_shallow_tree():
+    """One-hot vectors and a simplex: every distance is the same."""
+
+    def depth(node):
+        return 1 if len(node) == 1 else 1 + max(depth(node[3]), depth(node[4]))
+
+    rng = np.random.default_rng(8)
+    simplex = np.eye(2500) - 1 / 2500
+    for vectors in (np.eye(3000), simplex, np.ones((2000, 4)), rng.integers(0, 2, (3000, 3)).astype(float)):
+        tree = neighbours.Tree(vectors)
+        assert depth(tree.root) <= 5
+
+
+def test_neighbours_of_equidistant_vectors(spark):
+    rows = [(i, [1.0 if d == i % 40 else 0.0 for d in range(40)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard=700, block=20).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute_nearest(rows, lambda i: i % 20 == 0, 20)
+
+
+def test_ranks_by_the_measure_itself(spark):
+    """Sums that differ in their last bit alone are ranked by the sum in order of components."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24)
+    rows = [(i, (base * (1 + rng.integers(-2, 3, 24) * 2.0**-52)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=20, shard=90).collect()
+
+    def score(q, v):
+        total = 0.0
+        for x, y in zip(q, v):
+            total += x * y
+        return total
+
+    vectors = dict(rows)
+    for query in (0, 100, 200, 300):
+        ranked = sorted((-score(vectors[query], v), i) for i, v in rows if i != query)[:20]
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == query)
+        assert [(i, -s) for s, i in ranked] == [(i, s) for _, i, s in got]
+
+
 def test_relaxed_search_keeps_its_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16)) * 4
