@@ -8,16 +8,19 @@ agree in all registers of a band share a bucket. Pairs whose estimated Jaccard s
 corrected for registers that agree by chance, could still reach the threshold are compared
 on their full sets of shingles.
 
-A bucket isn't turned into all its pairs: its members meet one pivot, components are
-formed, and only buckets that still hold several components go on with more pivots, until
-every two members of a bucket are in one component or have been compared. So no link
-that a bucket can show is lost, and a large group of copies takes one round.
+A bucket isn't turned into all its pairs. First its members meet one pivot, and components
+are formed: a large group of copies takes this one round. Members of buckets that still
+hold several components then meet in blocks of ``BLOCK``: counts of a set's shingles in
+classes by hash bound how many two sets can share, and only pairs of different components
+whose bound reaches the threshold are compared. So no link that a bucket can show is lost,
+and near misses of a large group are ruled out a block at a time, without a row for each.
 
 At the threshold 0.8 a band of ``ROWS`` registers agrees with probability 0.51, so all of
 ``BANDS`` bands differ once in three million pairs.
 
 Defined results: a null or empty text has no shingles and stays alone; a text shorter than
-a shingle is one shingle; rows that repeat an id are one node; a null id stays alone with
+a shingle is one shingle; rows that repeat an id are in one component, each text of it with
+links of its own; a null id stays alone with
 a null component; extra columns are ignored; an empty table gives an empty one.
 """
 
@@ -28,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoscore.llm.common import raw, rows_of, texts, words
@@ -41,10 +44,10 @@ BANDS, ROWS = 21, 3
 PERCENT = 80
 #: Standard errors of the estimate that a pair may fall short and is still compared.
 SLACK = 5.0
-#: Holders that a shingle may have and still count as rare.
-RARE = 32
-#: Pivots of a bucket in its first rounds; later ones go on growing by the last factor.
-PIVOTS = (1, 8)
+#: Members of a bucket, on average, that meet at a time.
+BLOCK = 512
+#: Fewest and most classes of shingles; a set has at least twice as many as shingles, up to the most.
+CLASSES = (256, 8192)
 BATCH_BYTES = 4 << 20
 REMEMBERED = 400_000
 
@@ -120,8 +123,8 @@ def estimate(left: np.ndarray, right: np.ndarray) -> float:
 
 
 def sketch(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: set size, a hash of the whole set, the registers and the band keys."""
-    rows = texts(docs, id_col, text_col)
+    """Per row: a hash of the text, set size, a hash of the whole set, the registers and the band keys."""
+    rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +151,17 @@ def sketch(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(sizes),
                     pa.array(wholes.view(np.int64)),
                     pa.array([v.tobytes() for v in values], pa.binary()),
                     lists,
                 ],
-                names=[part.schema.names[0], "n", "whole", "registers", "bands"],
+                names=[part.schema.names[0], "h", "n", "whole", "registers", "bands"],
             )
 
     return rows.mapInArrow(
-        run, f"`{id_col}` {id_type}, n bigint, whole bigint, registers binary, bands array<bigint>"
+        run, f"`{id_col}` {id_type}, h bigint, n bigint, whole bigint, registers binary, bands array<bigint>"
     )
 
 
@@ -193,40 +197,89 @@ def _verifier(shingle: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _unshared(rows: DataFrame, shingle: int) -> DataFrame:
-    """(``node``, ``unshared``): shingles of a text that it can't share with any one of the others.
+def class_counts(grams: np.ndarray) -> bytes:
+    """How many shingles fall into each class, a byte each, and what goes beyond 255 in all.
 
-    Those no other text has, and of those that few have (``RARE`` at most) all but the
-    most that one other text has of them.
+    Of two sets, the smaller counts of every class and the smaller excess add up to at
+    least what they share.
     """
+    low, high = CLASSES
+    classes = min(max(1 << (2 * len(grams)).bit_length(), low), high)
+    counts = np.bincount((grams >> _U(7)).astype(np.int64) & (classes - 1), minlength=classes)
+    over = np.maximum(counts - 255, 0).sum()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.int64(over).tobytes()
 
+
+def _counted(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for part in rows_of(batches, BATCH_BYTES):
             if len(known) > REMEMBERED:
                 known.clear()
-            nodes, grams = part.column(0), []
+            found = []
             for text in raw(part.column(1)):
                 tokens = np.array(list(map(known.__getitem__, words(text))), np.uint64)
-                grams.append(shingle_hashes(tokens, shingle))
-            repeated = np.repeat(np.arange(part.num_rows), [len(g) for g in grams])
-            yield pa.RecordBatch.from_arrays(
-                [nodes.take(pa.array(repeated)), pa.array(np.concatenate(grams).view(np.int64))],
-                names=["node", "gram"],
-            )
+                found.append(class_counts(shingle_hashes(tokens, shingle)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "counts"])
 
-    grams = rows.select("node", "text").mapInArrow(run, f"node {_type(rows, 'node')}, gram bigint")
-    grams = store(grams, "open-shingles")
-    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
-    rare = store(grams.join(held, "gram"), "rare-shingles")
-    total = rare.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
-    holders = rare.filter("n > 1").groupBy("gram").agg(F.collect_list("node").alias("nodes"))
-    met = holders.select(F.explode("nodes").alias("node"), "nodes").select("node", F.explode("nodes").alias("other"))
-    shared = met.filter("node <> other").groupBy("node", "other").count()
-    most = shared.groupBy("node").agg(F.max("count").alias("most"))
-    return total.join(most, "node", "left").select(
-        "node", (F.col("total") - F.coalesce("most", F.lit(0))).alias("unshared")
+    return run
+
+
+def may_link(counts: list[bytes], n: np.ndarray, label: np.ndarray, left: np.ndarray, percent: int) -> tuple[list, list]:
+    """Positions of pairs of different labels, and of different sides if there are two, that may link."""
+    matrices = {}
+    for size in {len(c) for c in counts}:
+        rows = np.array([i for i, c in enumerate(counts) if len(c) == size])
+        both = np.frombuffer(b"".join(counts[i] for i in rows), np.uint8).reshape(len(rows), size)
+        matrices[size - 8] = rows, both[:, :-8].astype(np.uint16), both[:, -8:].copy().view(np.int64).ravel()
+    one_side = left.all() or not left.any()
+    found_a, found_b = [], []
+    for k, (rows_a, base_a, over_a) in matrices.items():
+        for other in (k, 2 * k, 4 * k):  # sizes of linked sets differ by less than classes do
+            if other not in matrices:
+                continue
+            rows_b, base_b, over_b = matrices[other]
+            base_b = base_b.reshape(len(rows_b), -1, k).sum(1, dtype=np.uint16)  # classes fold
+            for i, row in enumerate(rows_a):
+                ask = (label[rows_b] != label[row]) & (100 * np.minimum(n[row], n[rows_b]) >= percent * np.maximum(n[row], n[rows_b]))
+                ask &= (rows_b > row) if one_side and other == k else one_side | (left[rows_b] != left[row])
+                at = np.flatnonzero(ask)
+                if not len(at):
+                    continue
+                most = np.minimum(base_a[i], base_b[at]).sum(1, dtype=np.int64) + np.minimum(over_a[i], over_b[at])
+                near = at[100 * most >= percent * (n[row] + n[rows_b[at]] - most)]
+                found_a += [row] * len(near)
+                found_b += rows_b[near].tolist()
+    return found_a, found_b
+
+
+def _meet(members: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(``a``, ``b``): pairs of a bucket's members of different labels that may link."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    wanted = members.select("node").distinct().join(bodies.select("node", "text"), "node")
+    counted = store(wanted.mapInArrow(_counted(shingle), f"node {_type(members, 'node')}, counts binary"), "class-counts")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = members.join(sizes, "bucket").select(
+        "bucket", "node", "n", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("own")
     )
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(
+        "bucket", "node", "n", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        node, n, label = (group[c].to_numpy() for c in ("node", "n", "label"))
+        left = group["own"].to_numpy() == group["i"].to_numpy()
+        if group["i"][0] == group["j"][0]:
+            left[:] = True
+        elif left.all() or not left.any():  # a block without members on the other side
+            return pa.table([pa.array([], group["node"].type)] * 2, names=["a", "b"])
+        a, b = (node[np.array(x, int)] for x in may_link(group["counts"].to_pylist(), n, label, left, percent))
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
+
+    kind = _type(members, "node")
+    together = dealt.join(counted, "node")
+    return together.groupBy("bucket", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}").distinct()
 
 
 def groups(
@@ -239,82 +292,52 @@ def groups(
     """Per document ``id_col``, ``n_shingles``, ``component_id`` (the smallest id it reaches) and ``kept``."""
     rows = store(sketch(docs, shingle, id_col, text_col), "sketches")
     full = rows.filter((F.col("n") > 0) & F.col(id_col).isNotNull())
-    classes = full.groupBy("whole", "n").agg(
-        F.min(id_col).alias("node"),
-        F.min_by("registers", id_col).alias("registers"),
-        F.min_by("bands", id_col).alias("bands"),
+    # A class of equal sets goes by the hash of its set; one row of it stands for all.
+    classes = full.groupBy(F.col("whole").alias("node")).agg(
+        F.min_by(F.struct("n", F.col(id_col).alias("id"), "h", "registers", "bands"), F.struct(id_col, "h")).alias("row")
     )
-    classes = store(classes, "classes")
-    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    classes = store(classes.select("node", "row.*"), "classes")
+    members = classes.select("node", "id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().filter(F.col("count") > 1).select("bucket")
     members = store(members.join(shared, "bucket"), "members")
     # Texts of the classes that share a bucket, read once.
-    wanted = members.select("node").distinct().join(classes.select("node", "whole", "n", "registers"), "node")
-    source = texts(docs, id_col, text_col).withColumnRenamed(id_col, "node")
-    bodies = wanted.join(source, "node").groupBy("node", "whole", "n", "registers").agg(F.min("text").alias("text"))
+    wanted = members.select("node").distinct().join(classes.select("node", "id", "h", "registers"), "node")
+    source = texts(docs, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("h", F.xxhash64("text"))
+    bodies = wanted.join(source, ["id", "h"]).groupBy("node", "registers").agg(F.min("text").alias("text"))
     bodies = store(bodies.select("node", "registers", "text"), "bodies")
 
-    nodes = full.select(F.col(id_col).alias("doc"), "whole", "n").join(
-        classes.select("whole", "n", "node"), ["whole", "n"]
-    )
     # An id on several rows ties their classes together.
-    same_id = nodes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    links = store(same_id.select("a", "b"), "same-id")
-    tried = None
+    nodes = full.select(F.col(id_col).alias("doc"), F.col("whole").alias("node"))
+    same_id = nodes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    same_id = nodes.join(same_id.filter("a < b"), "doc").select("a", F.col("node").alias("b")).distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their estimates and then their full sets."""
+        right = bodies.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("text").alias("tb"))
+        left = bodies.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("text").alias("ta"))
+        together = pairs.join(right, "b").join(left, "a").select("a", "b", "ra", "rb", "ta", "tb")
+        found = together.mapInArrow(_verifier(shingle, percent), "a bigint, b bigint, linked boolean")
+        return found.filter("linked").select("a", "b")
+
+    # The pivot has the smallest id: more often than not what the others were copied from.
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "node", "n")).alias("p"))
+    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    first = members.join(pivots, "bucket").filter(near & (F.col("node") != F.col("p.node")))
+    ends = F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
+    first = store(first.select(*ends).distinct(), "pairs")
+    links = store(same_id.unionByName(checked(first)), "linked")
     labels = components(links)
-    round_, pivots = 0, PIVOTS[0]
-    while True:
-        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = store(labelled, "labelled")
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        labelled = store(labelled.join(open_.filter("low < high").select("bucket"), "bucket"), "open")
-        if labelled.isEmpty():
-            break
-        # Shingles that can't be shared bound a pair's similarity from above and rule most pairs
-        # of a large group of edited copies out unseen.
-        own = _unshared(labelled.select("node").distinct().join(bodies, "node"), shingle) if round_ else None
-        free = F.col("n")
-        if own is not None:
-            labelled = labelled.join(own, "node", "left")
-            free = F.col("n") - F.coalesce("unshared", F.lit(0))
-        labelled = store(labelled.select("bucket", "node", "n", "label", free.alias("free")), "bounded")
-        # A pivot for each share of the bucket, the smallest id of that share.
-        share = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(pivots))
-        chosen = (
-            labelled.groupBy("bucket", share.alias("share"))
-            .agg(F.min(F.struct("node", "n", "label", "free")).alias("p"))
-            .groupBy("bucket")
-            .agg(F.collect_list("p").alias("p"))  # at most as many as there are shares
-        )
-        chosen = store(chosen, "pivots")
-        def may_link(p: Column) -> Column:
-            most = F.least("free", p["free"])
-            near = most * 100 >= (F.col("n") + p["n"] - most) * percent
-            return (p["label"] != F.col("label")) & near
-
-        pairs = labelled.join(chosen, "bucket").select("node", F.explode(F.filter("p", may_link)).alias("p"))
-        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        if not pairs.isEmpty():
-            right = bodies.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("text").alias("tb"))
-            left = bodies.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("text").alias("ta"))
-            together = pairs.join(right, "b").join(left, "a").select("a", "b", "ra", "rb", "ta", "tb")
-            schema = f"a {_type(pairs, 'a')}, b {_type(pairs, 'b')}, linked boolean"
-            checked = store(together.mapInArrow(_verifier(shingle, percent), schema), "checked")
-            tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-            links = links.unionByName(checked.filter("linked").select("a", "b"))
-            labels = components(links)
-        # A pivot has now met all of its bucket and leaves it.
-        used = chosen.select("bucket", F.explode("p.node").alias("node"))
-        members = labelled.select("bucket", "node", "n").join(used, ["bucket", "node"], "left_anti")
-        round_, pivots = round_ + 1, max(PIVOTS[1], pivots * PIVOTS[1])
-    named = nodes.join(labels, "node", "left").select(
-        F.col("doc").alias(id_col), F.coalesce("label", "node").alias("component_id")
-    )
-    named = named.groupBy(id_col).agg(F.min("component_id").alias("component_id"))
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = store(labelled, "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    labelled = store(labelled.join(open_.filter("low < high").select("bucket"), "bucket"), "open")
+    second = store(_meet(labelled, bodies, shingle, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        labels = components(links.unionByName(store(checked(second), "linked")))
+    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = store(named.select("doc", "label").distinct(), "named")
+    smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    named = named.join(smallest, "label").select(F.col("doc").alias(id_col), "component_id").distinct()
     out = rows.select(id_col, F.col("n").alias("n_shingles")).join(named, id_col, "left")
     component = F.coalesce("component_id", id_col)
     return out.select(

@@ -69,6 +69,48 @@ def test_groups_of_ids_and_nothing(spark, documents):
     assert neardup.groups(documents([])).count() == 0
 
 
+def test_a_large_group_of_edited_copies(documents, monkeypatch):
+    """Pairs of one base around the threshold, met in several small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(9)
+    base = prose(140, rng)
+    texts = [edited(base, rng.randint(3, 7), rng) for _ in range(150)] + [edited(base, 14, rng) for _ in range(50)]
+    rows = neardup.groups(documents(texts), shingle=4).collect()
+    labels, _ = brute_components(texts, 4)
+    assert len(set(labels)) > 20
+    assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == labels
+
+
+def test_the_bound_keeps_every_link():
+    """Counts by class never rule out a pair that links, whatever the sizes and sides."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets_ = [rng.choice(base, int(rng.integers(1, 900)), replace=False) for _ in range(40)]
+    sets_ += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 12, dtype=np.uint64)]) for s in sets_]
+    sets_.append(np.repeat(base[:1], 1))
+    counts = [neardup.class_counts(s) for s in sets_]
+    n, label = np.array([len(s) for s in sets_]), np.arange(len(sets_))
+    left = rng.random(len(sets_)) < 0.5
+    for side in (np.ones(len(sets_), bool), left):
+        found = set(map(frozenset, zip(*neardup.may_link(counts, n, label, side, 80))))
+        for i, x in enumerate(sets_):
+            for j, y in enumerate(sets_[:i]):
+                both = len(np.intersect1d(x, y))
+                linked = 100 * both >= 80 * (len(x) + len(y) - both)
+                if linked and (side.all() or left[i] != left[j]):
+                    assert frozenset((i, j)) in found
+    many = np.repeat(base[:2], 400)  # beyond a byte's count
+    assert neardup.may_link([neardup.class_counts(many)] * 2, np.array([800, 800]), np.arange(2), np.ones(2, bool), 80)[0]
+
+
+def test_texts_of_one_id_keep_their_links(spark):
+    rng = random.Random(2)
+    one, two = prose(60, rng), prose(60, rng)
+    rows = [(7, one), (7, two), (8, edited(one, 1, rng)), (9, edited(two, 1, rng)), (10, prose(60, rng))]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(7, 7), (7, 7), (8, 7), (9, 7), (10, 10)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)]
