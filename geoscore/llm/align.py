@@ -13,8 +13,9 @@ cut. Documents that are through leave the vectors. A long document takes several
 
 How many documents hold a pair of ids linked is counted over the whole corpus: a block of
 documents lists its distinct pairs once with their numbers of documents, numbers are summed
-per pair, the highest of each A id is found among the sums, and both return to the blocks
-that listed the pair. A group's pairs are made from its distinct ids and how often each
+per pair, and the highest of each A id is found among the sums. Up to ``SENT`` distinct
+pairs are then sent to all tasks; beyond, they return to the blocks that listed them, which
+changes the plan and no row. A group's pairs are made from its distinct ids and how often each
 occurs, so long groups of repeated tokens don't multiply.
 
 Defined results: a null or empty text has no tokens, and neither has one whose tokens don't
@@ -25,6 +26,7 @@ an empty one. A text longer than a block is a block; memory follows it.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -40,13 +42,15 @@ from geoscore.sources.storage import store
 
 #: Text of a block, of a batch, and of a lane.
 BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 LANE_BYTES = 4096
 #: Links made at a time.
 TOGETHER = 1 << 19
 #: Below this character all releases of Unicode agree on what is a letter, digit or space.
 SETTLED = "ɐ"
 ID_BITS = 20
+#: Distinct pairs sent to every task, 17 bytes each.
+SENT = 2_000_000
 
 
 class ByteTokenizer:
@@ -185,12 +189,16 @@ def merged(ids_a: list[np.ndarray], ids_b: list[np.ndarray], size_a: np.ndarray,
 def links(ids_a: np.ndarray, ids_b: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Linked ids: the row of ``cuts`` whose group it is of, a key of both ids, and how often.
 
-    Groups of one token on either side are plain; in longer ones equal ids meet once, with
-    the product of their numbers.
+    In groups of more than 8 tokens equal ids meet once, with the product of their numbers.
     """
     sizes = np.diff(cuts, axis=0, prepend=np.zeros((1, 2), cuts.dtype)).astype(np.int64)
     starts = cuts - sizes
-    plain = (sizes <= 8).all(1)
+    single = (sizes == 1).all(1)
+    for chunk in _chunks(single.astype(np.int64), TOGETHER):
+        rows = np.flatnonzero(single[chunk]) + chunk.start
+        a, b = ids_a[starts[rows, 0]].astype(np.int64), ids_b[starts[rows, 1]]
+        yield rows, a << ID_BITS | b, np.ones(len(rows), np.int64)
+    plain = (sizes <= 8).all(1) & ~single
     for chunk in _chunks(np.where(plain, sizes.prod(1), 0), TOGETHER):
         rows = np.flatnonzero(plain[chunk]) + chunk.start
         n, m = sizes[rows].T
@@ -200,7 +208,7 @@ def links(ids_a: np.ndarray, ids_b: np.ndarray, cuts: np.ndarray) -> Iterator[tu
         a = ids_a[starts[group, 0] + within // wide].astype(np.int64)
         b = ids_b[starts[group, 1] + within % wide].astype(np.int64)
         yield group, a << ID_BITS | b, np.ones(len(group), np.int64)
-    for row in np.flatnonzero(~plain).tolist():
+    for row in np.flatnonzero(~plain & ~single).tolist():
         (i, j), (n, m) = starts[row], sizes[row]
         a, times_a = np.unique(ids_a[i : i + n], return_counts=True)
         b, times_b = np.unique(ids_b[j : j + m], return_counts=True)
@@ -312,7 +320,7 @@ def packed(ids_a: np.ndarray, ids_b: np.ndarray, cuts: np.ndarray) -> bytes:
     sizes = np.diff(cuts, axis=0, prepend=np.zeros((1, 2), cuts.dtype))
     arrays = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in (ids_a, ids_b, sizes[:, 0], sizes[:, 1])]
     head = np.array([(len(x), x.itemsize) for x in arrays], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(x.tobytes() for x in arrays), 3)
+    return zstandard.compress(head.tobytes() + b"".join(x.tobytes() for x in arrays), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,78 +349,97 @@ def align(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row the tokens of both, the cuts and what the corpus counts of its links.
+    """Per row ``tokens``, both tokenizers' ids and the cuts in packed form, and what the corpus counts.
 
-    ``a_ids`` and ``b_ids``; ``a_cuts`` and ``b_cuts``, the number of tokens of each up to
-    every group's end; ``n_links``, ``n_best`` (links whose count is the highest of their A
-    id) and ``count_sum`` (counts of all links). Both paths must exist on every executor;
-    ``pattern`` parts a text into words for tokenizer A.
+    :func:`expanded` spells ``tokens`` out. ``n_links``, ``n_best`` (links whose count is
+    the highest of their A id) and ``count_sum`` (counts of all links) follow. Both paths
+    must exist on every executor; ``pattern`` parts a text into words for tokenizer A.
     """
     rows = store(tokenized(docs, path_a, path_b, pattern, id_col, text_col), "align", ["kind"])
     id_type = rows.schema[id_col].dataType.simpleString()
     listed = rows.filter("kind = 1").select(F.col("block").alias("home"), "pair", "n")
-    back = listed.select("home", "pair").join(counts(listed), "pair")
+    counted = store(counts(listed), "align-pairs")
     documents = rows.filter("kind = 0").select("block", id_col, "tokens")
+    schema = f"`{id_col}` {id_type}, tokens binary, n_links bigint, n_best bigint, count_sum bigint"
+    names = [id_col, "tokens", "n_links", "n_best", "count_sum"]
 
-    def weigh(docs: pa.Table, back: pa.Table) -> pa.Table:
+    def weighed(ids: pa.Array, tokens: pa.Array, known: tuple) -> list:
+        return [ids, tokens, *map(pa.array, weigh(list(map(unpacked, tokens.to_pylist())), *known))]
+
+    if counted.count() <= SENT:
+        found = counted.orderBy("pair").toArrow()
+        shared = share(docs, tuple(found[c].to_numpy() for c in ("pair", "count", "best")))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared()
+            for part in rows_of(batches, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays(weighed(part.column(1), part.column(2), known), names=names)
+
+        return documents.mapInArrow(each, schema)
+
+    def together(docs: pa.Table, back: pa.Table) -> pa.Table:
         order = np.argsort(back["pair"].to_numpy())
-        keys = back["pair"].to_numpy()[order]
-        count, best = back["count"].to_numpy()[order], back["best"].to_numpy(zero_copy_only=False)[order]
-        a, b, cuts = map(list, zip(*map(unpacked, docs["tokens"].to_pylist())))
-        totals = np.zeros((3, docs.num_rows), np.int64)
-        for run in _documents(cuts):
-            joined, owner = _together(a[run], b[run], cuts[run])
-            for group, key, times in links(*joined):
-                at = np.searchsorted(keys, key)
-                for total, weight in zip(totals, (1, best[at], count[at])):
-                    np.add.at(total[run], owner[group], times * weight)
-        columns = [docs[id_col], *map(listed, (a, b, [c[:, 0] for c in cuts], [c[:, 1] for c in cuts]))]
-        return pa.table([*columns, *map(pa.array, totals)], names=names)
+        known = tuple(back[c].to_numpy(zero_copy_only=False)[order] for c in ("pair", "count", "best"))
+        return pa.table(weighed(docs[id_col], docs["tokens"], known), names=names)
+
+    back = listed.select("home", "pair").join(counted, "pair")
+    return documents.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(together, schema)
+
+
+def weigh(documents: list[tuple], keys: np.ndarray, count: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Links, best links and sum of counts (rows) of documents; ``keys`` in order hold all their pairs."""
+    totals = np.zeros((3, len(documents)), np.int64)
+    a, b, cuts = map(list, zip(*documents)) if documents else ([], [], [])
+    for run in _documents(cuts):
+        joined, owner = _together(a[run], b[run], cuts[run])
+        for group, key, times in links(*joined):
+            at, of = np.searchsorted(keys, key), owner[group]
+            for total, weight in zip(totals, (times, times * best[at], times * count[at])):
+                # Exact: a chunk's sums stay far below 2**53.
+                total[run] += np.bincount(of, weight, run.stop - run.start).astype(np.int64)
+    return totals
+
+
+def expanded(aligned: DataFrame) -> DataFrame:
+    """``tokens`` spelt out: ``a_ids``, ``b_ids``, ``a_cuts`` and ``b_cuts``, the tokens of each up to every group's end."""
+    others = [c for c in aligned.columns if c != "tokens"]
+    names = [*others, "a_ids", "b_ids", "a_cuts", "b_cuts"]
+    kinds = [f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in others]
 
     def listed(arrays: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
-
-    names = [id_col, "a_ids", "b_ids", "a_cuts", "b_cuts", "n_links", "n_best", "count_sum"]
-    schema = (
-        f"`{id_col}` {id_type}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, "
-        "n_links bigint, n_best bigint, count_sum bigint"
-    )
-    return documents.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(weigh, schema)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches, BATCH_BYTES):
+            found = list(map(unpacked, part.column("tokens").to_pylist()))
+            lists = [[a for a, _, _ in found], [b for _, b, _ in found], *([c[:, k] for _, _, c in found] for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*map(part.column, others), *map(listed, lists)], names=names)
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """A list column as one array per row."""
-    whole = column.combine_chunks()
-    whole = whole if isinstance(whole, pa.ListArray) else whole.chunk(0)
-    flat, ends = whole.values.to_numpy(), whole.offsets.to_pylist()
-    return [flat[i:j] for i, j in zip(ends, ends[1:])]
+    return aligned.mapInArrow(run, ", ".join([*kinds, *(f"{c} array<int>" for c in names[-4:])]))
 
 
 def digests(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row the numbers of tokens, groups and links, and a hash of the groups as text."""
     id_type = aligned.schema[id_col].dataType.simpleString()
     numbers = ["n_links", "n_best", "count_sum"]
-    names = [id_col, "n_a", "n_b", "n_groups", *numbers, "groups"]
+    names = [id_col, "n_a", "n_b", "n_groups", *numbers, "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell: list[str] = []
         for part in rows_of(batches, BATCH_BYTES):
-            a, b, ca, cb = (_arrays(pa.chunked_array([part.column(c)])) for c in ("a_ids", "b_ids", "a_cuts", "b_cuts"))
-            size = 1 + max((int(x.max()) for x in (*a, *b) if len(x)), default=0)
+            found = list(map(unpacked, part.column("tokens").to_pylist()))
+            size = 1 + max((int(x.max()) for a, b, _ in found for x in (a, b) if len(x)), default=0)
             if 3 * size > len(spell):
                 spell = [f"{i}{mark}" for mark in ",|;" for i in range(2 * size)]
-            written = [groups_text(*each, spell) for each in zip(a, b, ca, cb)]
-            sizes = [pa.array([len(x) for x in each], pa.int64()) for each in (a, b, ca)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(id_col), *sizes, *(part.column(c) for c in numbers), pa.array(written, pa.string())],
-                names=names,
-            )
-
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", groups string"
-    written = aligned.mapInArrow(run, schema)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    return written.select(*names[:-1], digest.alias("groups_sha256"))
+            written = [groups_text(a, b, cuts[:, 0], cuts[:, 1], spell) for a, b, cuts in found]
+            hashes = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+            sizes = [pa.array([len(each[k]) for each in found], pa.int64()) for k in range(3)]
+            columns = [part.column(id_col), *sizes, *(part.column(c) for c in numbers), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", groups_sha256 string"
+    return aligned.mapInArrow(run, schema)
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, spell: list[str]) -> str:

@@ -81,10 +81,13 @@ def test_against_plain_loops(spark, documents, monkeypatch):
     for i, t in enumerate(texts):
         assert got[i] == expected[i], t
     assert sum(e[0] == 0 for e in expected) >= 3  # null, empty, and what sentencepiece rewrites
+    monkeypatch.setattr(align, "SENT", 0)  # the other plan
+    assert aligned(documents(texts).repartition(3, "doc_id")) == got
 
 
 def test_real_outputs(spark, documents):
-    row = align.align(documents(["a long word: internationalisation"]), A, B, public_tokenizers.PATTERN).first()
+    found = align.align(documents(["a long word: internationalisation"]), A, B, public_tokenizers.PATTERN)
+    row = align.expanded(found).first()
     assert row.a_cuts[-1] == len(row.a_ids) and row.b_cuts[-1] == len(row.b_ids)
     assert len(row.a_cuts) == len(row.b_cuts) and row.n_links >= len(row.a_ids)
 
