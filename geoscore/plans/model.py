@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ from geoscore.plans.learners import (
     stable_layout,
 )
 from geoscore.schema import FEATURES, LABEL
-from geoscore.sources.storage import enable_checkpoints
+from geoscore.sources.storage import drop, enable_checkpoints, exists
 
 SCORE = "score"
 ROW = "_scored_row"
@@ -107,41 +108,64 @@ class RiskModel:
         rows = [(n, float(w)) for n, w in zip(encoded_names(self.encoder), weights, strict=True)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
-    def save(self, path: str) -> None:
-        """Encoder, learners and a manifest below ``path``, replacing what was there."""
-        self.encoder.write().overwrite().save(f"{path}/encoder")
+    def write_version(self, path: str) -> str:
+        """Encoder and learners in a folder of their own below ``path``, which nobody reads yet."""
+        version = uuid.uuid4().hex
+        self.encoder.write().save(f"{path}/versions/{version}/encoder")
         for fitted in self.learners:
-            fitted.model.write().overwrite().save(f"{path}/learners/{fitted.name}")
+            fitted.model.write().save(f"{path}/versions/{version}/learners/{fitted.name}")
+        return version
+
+    def save(self, path: str) -> None:
+        """A new version below ``path``; readers see it once its manifest, written last, is there.
+
+        A save that breaks off leaves the version before readable. That one stays for
+        readers still at work; older ones are deleted.
+        """
         spark = SparkSession.active()
+        version = self.write_version(path)
+        before = _saved(spark, path)
+        number = 1 + max((r["saved"] for r in before), default=0)
         manifest = [
-            (i, m.name, m.kind, float(m.vote), list(self.features), self.missing_indicators)
+            (number, version, i, m.name, m.kind, float(m.vote), list(self.features), self.missing_indicators)
             for i, m in enumerate(self.learners)
         ]
-        frame = spark.createDataFrame(manifest, _MANIFEST).coalesce(1)
-        frame.write.mode("overwrite").json(f"{path}/manifest")
+        # One file, so that its commit is one rename.
+        spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+        latest = max((r["saved"] for r in before), default=0)
+        drop(spark, {f"{path}/versions/{r['version']}" for r in before if r["saved"] < latest})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> RiskModel:
-        rows = spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy("position").collect()
+        found = _saved(spark, path)
+        if not found:
+            raise FileNotFoundError(f"no model was saved at {path}")
+        last = max((r["saved"], r["version"]) for r in found)
+        rows = sorted((r for r in found if (r["saved"], r["version"]) == last), key=lambda r: r["position"])
+        at = f"{path}/versions/{last[1]}"
         learners = tuple(
-            FittedLearner(
-                r["name"],
-                r["kind"],
-                r["vote"],
-                MODEL_CLASSES[r["kind"]].load(f"{path}/learners/{r['name']}"),
-            )
+            FittedLearner(r["name"], r["kind"], r["vote"], MODEL_CLASSES[r["kind"]].load(f"{at}/learners/{r['name']}"))
             for r in rows
         )
         return cls(
-            PipelineModel.load(f"{path}/encoder"),
+            PipelineModel.load(f"{at}/encoder"),
             learners,
             tuple(rows[0]["features"]),
             rows[0]["missing_indicators"],
         )
 
 
+def _saved(spark: SparkSession, path: str) -> list:
+    """Manifest rows of all saves, a few for each."""
+    if not exists(spark, f"{path}/manifest"):
+        return []
+    return spark.read.schema(_MANIFEST).json(f"{path}/manifest").collect()
+
+
 _MANIFEST = T.StructType(
     [
+        T.StructField("saved", T.LongType()),
+        T.StructField("version", T.StringType()),
         T.StructField("position", T.IntegerType()),
         T.StructField("name", T.StringType()),
         T.StructField("kind", T.StringType()),

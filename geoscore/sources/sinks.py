@@ -20,6 +20,12 @@ def write_scores(
     writer.save(path)
 
 
+def write_lines(df: DataFrame, path: str, header: str) -> None:
+    """The one text column of ``df`` as lines, just as they are, below a header in each file."""
+    raw = {"header": True, "sep": "\u0001", "quote": "", "escapeQuotes": False, "emptyValue": ""}
+    df.toDF(header).write.mode("overwrite").options(**raw).csv(path)
+
+
 def write_report(df: DataFrame, path: str, order_by: Sequence = ()) -> None:
     """A report table of at most a few hundred rows as one headed CSV file."""
     single = df.repartition(1)

@@ -66,6 +66,11 @@ def recorded() -> Iterator[list[str]]:
         _RECORDED.reset(token)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes stored tables; frames that read them can't be used any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

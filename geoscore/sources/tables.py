@@ -55,6 +55,44 @@ def read_csv(
     )
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA
+) -> tuple[DataFrame, DataFrame]:
+    """Headed CSV as (rows, broken): typed rows, and the lines that can't be rows.
+
+    ``broken`` has ``file``, ``line`` and ``reason``: a number of cells other than the
+    header's, or each number column with text that is no number. Blank lines are no lines.
+    All files have one header; a line that repeats it is a header too. Lines are split once,
+    by the same parser as :func:`read_csv`; a cell can't hold a line end.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    first = spark.read.option("header", False).option("quote", "").option("sep", "\u0001").csv(path).first()
+    cells = T.StructType([T.StructField(name, T.StringType()) for name in [*header, "_broken"]])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.filter((F.trim("value") != "") & (F.col("value") != F.lit(first[0] if first else "")))
+    options = {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+    parsed = lines.select("value", "file", F.from_csv("value", cells.simpleString()[7:-1].replace(":", " "), options).alias("c"))
+    declared = schema_for(header, schema)
+    wrong = []
+    for f in declared:
+        if isinstance(f.dataType, T.NumericType):
+            text = F.trim(F.col("c")[f.name])
+            bad = text.isNotNull() & ~text.isin(*MISSING_MARKERS) & text.try_cast(f.dataType).isNull()
+            wrong.append(F.when(bad, F.concat(F.lit(f"{f.name}: "), text)))
+    numbers = F.nullif(F.concat_ws("; ", *wrong), F.lit("")) if wrong else F.lit(None).cast("string")
+    reason = F.when(F.col("c")["_broken"].isNotNull(), F.lit(f"not {len(header)} cells")).otherwise(numbers)
+    judged = parsed.withColumn("reason", reason)
+
+    def typed(f: T.StructField) -> Column:
+        text = F.col("c")[f.name]
+        if isinstance(f.dataType, T.NumericType):
+            text = F.when(~F.trim(text).isin(*MISSING_MARKERS), F.trim(text))
+        return text.cast(f.dataType).alias(f.name)
+
+    rows = judged.filter(F.col("reason").isNull()).select(*map(typed, declared))
+    return rows, judged.filter(F.col("reason").isNotNull()).select("file", F.col("value").alias("line"), "reason")
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Columnar table; its own schema, pruned and filtered at the scan."""
     return spark.read.parquet(path)

@@ -350,6 +350,27 @@ ORACLE: dict[str, str] = {
     "model_roundtrip": _with(
         OBS, "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing FROM observations"
     ),
+    "node_table_scores": _with(
+        OBS, "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing FROM observations"
+    ),
+    "staged_losses": _with(
+        OBS,
+        "SELECT rounds, n AS rows, TRUE AS sound FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM observations), "
+        "(SELECT CAST(unnest([2, 4, 5]) AS INTEGER) AS rounds)",
+    ),
+    "same_trees": "SELECT TRUE AS has_nodes, CAST(0 AS BIGINT) AS differing",
+    "in_memory_rows": _with(OBS, f"SELECT {_FEATURES} FROM observations ORDER BY {_FEATURES} LIMIT 20"),
+    "interrupted_save": _with(
+        OBS, "SELECT CAST(count(*) AS BIGINT) AS rows, TRUE AS old_kept, TRUE AS new_read FROM observations"
+    ),
+    "csv_quarantine": _with(
+        OBS,
+        """SELECT CASE k WHEN 1 THEN '"' || event_id ELSE event_id END AS line,
+        CASE WHEN k IN (1, 2, 3) THEN 'not 4 cells' WHEN k = 5 THEN 'ndvi: wet; elevation_m: high' ELSE 'valid' END AS reason,
+        k = 4 AS missing
+        FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, ndvi, land_cover, CAST(event_id AS BIGINT) % 10 AS k
+        FROM observations)""",
+    ),
     "rescored_table": _with(
         OBS, "SELECT event_id, 'mine' AS features, event_id AS label, TRUE AS sound FROM observations"
     ),

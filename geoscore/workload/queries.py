@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from geoscore.functions.scores import (
 from geoscore.functions.spatial import grid_cell, grid_cell_bound
 from geoscore.operators import folds as fold_ops
 from geoscore.operators import metrics, profile, ranking, tiles, validate
-from geoscore.plans import heat, learners, scoring, validation
+from geoscore.plans import heat, learners, scoring, trees, validation
 from geoscore.plans.model import RiskModel, fit, importance_ranking
 from geoscore.schema import (
     FEATURES,
@@ -28,7 +29,7 @@ from geoscore.schema import (
     schema_for,
 )
 from geoscore.sources import tables
-from geoscore.sources.sinks import write_record, write_report, write_scores
+from geoscore.sources.sinks import write_lines, write_record, write_report, write_scores
 from geoscore.sources.storage import scratch_path, store
 from geoscore.streaming.score_stream import read_record_stream, score_stream, write_score_stream
 from geoscore.workload.views import LAND_COVER, view
@@ -613,6 +614,100 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def node_table_scores(spark, sf_dir):
+    """Rows scored by the path conditions of every learner's nodes, and those the model scores otherwise."""
+    model = _model(spark, sf_dir)
+    ensembles = {m.name: trees.Ensemble.of(spark, m) for m in model.learners}
+    scored = trees.score_by_nodes(model, model.transform(_observations(spark, sf_dir)), ensembles)
+    near = [F.abs(F.col(f"p_{n}") - F.col(f"n_{n}")) < 1e-12 for n in ensembles]
+    voted = soft_vote({f"n_{m.name}": m.vote for m in model.learners})
+    same = near[0] & near[1] & (F.abs(voted - F.col("score")) < 1e-12)
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
+
+
+@query
+def staged_losses(spark, sf_dir):
+    """Each stage's rows, and whether its loss is that of the scores themselves at the end, and falls on the training rows."""
+    model, rows = _model(spark, sf_dir), _observations(spark, sf_dir)
+    fitted = next(m for m in model.learners if m.name == "b")
+    staged = store(trees.staged_log_loss(model, rows, trees.Ensemble.of(spark, fitted), LABEL, every=2), "staged")
+    p = F.col("p_b")
+    own = model.transform(rows).agg(
+        F.avg(-F.when(F.col(LABEL).cast("int") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("own")
+    )
+    paired = staged.select("rounds", "rows", "log_loss").join(
+        staged.select((F.col("rounds") + F.when(F.col("rounds") == 4, 1).otherwise(2)).alias("rounds"), F.col("log_loss").alias("before")),
+        "rounds",
+        "left",
+    )
+    last = own.select(F.lit(QUERY_ROUNDS).alias("rounds"), "own")
+    checked = paired.join(last, "rounds", "left")
+    sound = F.coalesce(F.col("log_loss") < F.col("before"), F.lit(True))
+    agrees = F.coalesce(F.abs(F.col("log_loss") - F.col("own")) < 1e-9, F.lit(True))
+    return checked.select("rounds", "rows", (sound & agrees).alias("sound"))
+
+
+@query
+def same_trees(spark, sf_dir):
+    """Nodes of two fits of one table in different layouts, and those that differ."""
+    rows = _observations(spark, sf_dir)
+    one = next(m for m in _model(spark, sf_dir).learners if m.name == "a")
+    again = fit(rows.repartition(7, "event_id"), "event_id", [learners.boosted_a(QUERY_ROUNDS)]).learners[0]
+    found = trees.differing_nodes(trees.node_table(spark, one), trees.node_table(spark, again))
+    return found.select((F.col("nodes") > 2 * QUERY_ROUNDS).alias("has_nodes"), "differing")
+
+
+@query
+def in_memory_rows(spark, sf_dir):
+    """The first events as request dicts, and back as typed rows."""
+    few = _observations(spark, sf_dir).select(*FEATURES).orderBy(*FEATURES).limit(20)
+    return tables.from_rows(spark, [r.asDict() | {"extra": 1} for r in few.collect()])
+
+
+@query
+def interrupted_save(spark, sf_dir):
+    """A save broken off after the learners leaves the model of the save before."""
+    path = scratch_path(spark, "versioned")
+    model, rows = _model(spark, sf_dir), _observations(spark, sf_dir)
+    model.save(path)
+    halfway = replace(model, learners=tuple(replace(m, vote=1.0 - m.vote) for m in model.learners))
+    halfway.write_version(path)  # all but the manifest, which is written last
+    kept = RiskModel.load(spark, path).votes
+    halfway.save(path)
+    new = RiskModel.load(spark, path).votes
+    scored = RiskModel.load(spark, path).transform(rows)
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(kept == model.votes).alias("old_kept"),
+        F.lit(new == halfway.votes).alias("new_read"),
+    )
+
+
+@query
+def csv_quarantine(spark, sf_dir):
+    """A written CSV with broken lines: sound rows, and each broken line with its reason."""
+    path = scratch_path(spark, "broken-csv")
+    rows = _observations(spark, sf_dir).select("event_id", "ndvi", "land_cover", "elevation_m")
+    kind = F.col("event_id") % 10
+    rows = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
+    line = F.concat_ws(",", "event_id", "ndvi", "land_cover", "elevation_m")
+    line = (
+        F.when(kind == 1, F.concat(F.lit('"'), line))
+        .when(kind == 2, F.concat(line, F.lit(",7")))
+        .when(kind == 3, F.concat_ws(",", "event_id", "ndvi"))
+        .when(kind == 4, F.concat_ws(",", "event_id", "ndvi", "land_cover", F.lit("NA")))
+        .when(kind == 5, F.concat_ws(",", "event_id", F.lit("wet"), "land_cover", F.lit("high")))
+        .otherwise(line)
+    )
+    write_lines(rows.select(line.alias("value")), path, "event_id,ndvi,land_cover,elevation_m")
+    valid, broken = tables.read_csv_checked(spark, path, schema_for(["event_id", "ndvi", "land_cover", "elevation_m"]))
+    sound = valid.select(
+        F.col("event_id").cast("string").alias("line"), F.lit("valid").alias("reason"), F.col("elevation_m").isNull().alias("missing")
+    )
+    return sound.unionByName(broken.select(F.substring_index("line", ",", 1).alias("line"), "reason", F.lit(False).alias("missing")))
+
+
 @query
 def rescored_table(spark, sf_dir):
     """Scoring a table that has score, label and feature-vector columns of its own."""

@@ -36,6 +36,10 @@ MODEL_QUERIES = WITHOUT_SQL | {
     "planted_out_of_fold",
     "planted_comparison",
     "stream_checked",
+    "node_table_scores",
+    "staged_losses",
+    "same_trees",
+    "interrupted_save",
 }
 # Queries over the scored points that must read their source once, eager jobs included.
 ONE_SCAN = (
