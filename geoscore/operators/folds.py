@@ -6,16 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geoscore.functions.scores import binary_label, required
 from geoscore.functions.spatial import CELLS_PER_DEGREE, grid_cell_bound, grid_index
 from geoscore.operators.ordering import numbered
+from geoscore.sources.storage import store
 
 # Number of folds and the shuffle seed.
 FOLDS, SEED = 5, 42
 # Groups up to this many (about 40 bytes each) are dealt by one task and broadcast.
 BROADCAST_GROUPS = 1_000_000
+# A group with more than one in so many rows of a class is placed by itself; hands of the rest per fold.
+HEAVY_PARTS, HANDS = 1_000, 20
 
 
 def group_counts(df: DataFrame, group: str | Sequence[str], label: str) -> DataFrame:
@@ -64,6 +68,66 @@ def deal_folds(
     return dealt.select(*groups.columns, fold.cast("int").alias("fold"))
 
 
+def balanced_placing(shares: Sequence[tuple[float, float]], folds: int) -> list[int]:
+    """A fold for each group of ``(positive, negative)`` shares, one by one in the order given.
+
+    Each goes where it adds least to the folds' squared shares of both classes, which is
+    where it least upsets the balance; the fold with the lower number wins ties.
+    """
+    held = [[0.0, 0.0] for _ in range(folds)]
+    placed = []
+    for share in shares:
+        fold = min(range(folds), key=lambda f: held[f][0] * share[0] + held[f][1] * share[1])
+        held[fold] = [h + s for h, s in zip(held[fold], share)]
+        placed.append(fold)
+    return placed
+
+
+def deal_heavy(
+    groups: DataFrame,
+    group: str,
+    folds: int = FOLDS,
+    seed: int | None = None,
+    most_groups: int | None = None,
+    parts: int = HEAVY_PARTS,
+) -> DataFrame:
+    """As :func:`deal_folds`, but balanced when a few groups hold much of a class.
+
+    A group with more than one in ``parts`` of either class is heavy; there are fewer than
+    ``2 * parts`` of these at any size of table. The others are dealt back and forth over
+    ``HANDS`` hands for each fold. The driver then places heavy groups and hands one by one,
+    largest first. The deal is stored.
+    """
+    spark = groups.sparkSession
+    groups = store(groups, "groups")
+    pos, neg = groups.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).first()
+    is_heavy = (F.col("pos") * parts > pos) | (F.col("neg") * parts > neg)
+    tail = store(
+        deal_folds(groups.filter(~is_heavy), group, folds * HANDS, seed, most_groups)
+        .withColumnRenamed("fold", "hand"),
+        "hands",
+    )
+    kind = groups.schema[group].dataType
+    hands = tail.groupBy("hand").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    units = hands.select("hand", F.lit(None).cast(kind).alias(group), "pos", "neg").unionByName(
+        groups.filter(is_heavy).select(F.lit(None).cast("int").alias("hand"), group, "pos", "neg")
+    )
+    # Bounded by folds, HANDS and parts.
+    rows = [
+        (r["hand"], r[group], r["pos"] / max(pos, 1), r["neg"] / max(neg, 1)) for r in units.collect()
+    ]
+    # Heavy groups before hands of the same size, then by name.
+    rows.sort(key=lambda r: (-(r[2] ** 2 + r[3] ** 2), r[0] is not None, r[0] if r[0] is not None else r[1]))
+    placed = balanced_placing([r[2:] for r in rows], folds)
+    of_hand = {r[0]: fold for r, fold in zip(rows, placed) if r[0] is not None}
+    of_group = [(r[1], fold) for r, fold in zip(rows, placed) if r[0] is None]
+    hand_folds = F.array(*[F.lit(of_hand.get(h, 0)) for h in range(folds * HANDS)])
+    light = tail.select(*groups.columns, F.get(hand_folds, F.col("hand")).alias("fold"))
+    schema = T.StructType([T.StructField(group, kind), T.StructField("fold", T.IntegerType())])
+    heavy = groups.join(F.broadcast(spark.createDataFrame(of_group, schema)), group)
+    return store(light.unionByName(heavy.select(*groups.columns, "fold")), "deal")
+
+
 def _bounded(most_groups: int | None) -> bool:
     return most_groups is not None and most_groups <= BROADCAST_GROUPS
 
@@ -81,11 +145,16 @@ def assign_folds(
     folds: int = FOLDS,
     seed: int | None = None,
     most_groups: int | None = None,
+    heavy: bool = False,
 ) -> DataFrame:
-    """Every row with its group's ``fold``; a NULL group fails the query."""
+    """Every row with its group's ``fold``; a NULL group fails the query.
+
+    ``heavy`` deals by :func:`deal_heavy`.
+    """
     dtype = df.schema[group].dataType.simpleString()
     keyed = df.withColumn(group, required(group, f"{group} is NULL", dtype))
-    dealt = deal_folds(group_counts(keyed, group, label), group, folds, seed, most_groups)
+    deal = deal_heavy if heavy else deal_folds
+    dealt = deal(group_counts(keyed, group, label), group, folds, seed, most_groups)
     return _join_folds(keyed, dealt.select(group, "fold"), [group], _bounded(most_groups))
 
 
@@ -97,8 +166,9 @@ def assign_spatial_folds(
     folds: int = FOLDS,
     seed: int | None = None,
     cells_per_degree: int = CELLS_PER_DEGREE,
+    heavy: bool = False,
 ) -> DataFrame:
-    """Every row with its grid ``cell`` and that cell's ``fold``.
+    """Every row with its grid ``cell`` and that cell's ``fold``; ``heavy`` deals by :func:`deal_heavy`.
 
     Coordinates outside +-90 and +-360 degrees fail the query; inside, the grid
     itself bounds the number of cells. Rows are grouped and joined by the grid's
@@ -113,7 +183,7 @@ def assign_spatial_folds(
     keyed = df.withColumns({"_row": index(latitude, 90.0), "_column": index(longitude, 360.0)})
     cells = group_counts(keyed, keys, label).withColumn("cell", F.concat_ws("_", *keys))
     bound = grid_cell_bound(cells_per_degree)
-    dealt = deal_folds(cells, "cell", folds, seed, bound)
+    dealt = (deal_heavy if heavy else deal_folds)(cells, "cell", folds, seed, bound)
     return _join_folds(keyed, dealt.select(*keys, "cell", "fold"), keys, _bounded(bound)).drop(*keys)
 
 

@@ -268,6 +268,17 @@ ORACLE: dict[str, str] = {
         f"best AS ({_best('f1', 'threshold, f1, precision, recall')})",
         "SELECT roc_auc, average_precision AS pr_auc, threshold, f1, precision, recall FROM ranks, best",
     ),
+    "metrics_of_days": " UNION ALL ".join(
+        "SELECT * FROM ("
+        + _with(
+            f"{POINTS}, chosen AS (SELECT * FROM pts WHERE {days}), {_curve(source='chosen')}, "
+            f"{_ranks(source='chosen')}, best AS ({_best('f1', 'threshold, f1, precision, recall')})",
+            f"SELECT '{name}' AS days, roc_auc, average_precision AS pr_auc, threshold, f1, precision, recall "
+            "FROM ranks, best",
+        )
+        + ")"
+        for name, days in (("all", "TRUE"), ("two", "obs_id // 100 % 4 IN (1, 2)"))
+    ),
     "report_sink": _with(
         f"{POINTS}, {_curve()}", "SELECT threshold, f1, f2, precision, recall FROM curve"
     ),
@@ -316,9 +327,18 @@ ORACLE: dict[str, str] = {
         "SELECT CAST(count(*) AS BIGINT) AS cells, CAST(sum(pos + neg) AS BIGINT) AS rows, "
         "CAST(0 AS BIGINT) AS split_cells FROM deal",
     ),
+    "heavy_cells": _with(
+        f"{cte('scored')}, placed AS (SELECT CASE WHEN obs_id % 3 = 0 THEN 'heavy' WHEN obs_id % 7 = 1 THEN 'large' "
+        f"WHEN obs_id % 11 = 2 THEN 'broad' ELSE {CELL} END AS cell FROM scored)",
+        "SELECT CAST(5 AS BIGINT) AS folds, CAST(count(DISTINCT cell) AS BIGINT) AS cells, "
+        "CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS split_cells, TRUE AS more_even FROM placed",
+    ),
     "one_hot_encode": _with(
         OBS, f"SELECT event_id, land_cover, soil_type, {_INDICATORS} AS indicators FROM observations"
     ),
+    "level_slots": _with(
+        OBS, f"SELECT event_id, land_cover, soil_type, {_INDICATORS} AS indicators FROM observations"
+    ),
     "point_layer": _with(POINTS, "SELECT latitude, longitude, score FROM pts"),
     "heat_tiles_z9": _with(f"{POINTS}, {_tiles()}", _tile_select("9", "x", "y", "placed")),
     "heat_tiles_rollup": _with(
@@ -385,6 +405,17 @@ ORACLE: dict[str, str] = {
         "SELECT record, CASE WHEN errors = '' THEN 'valid' ELSE 'quarantine' END AS status, errors, "
         "errors = '' AS scored FROM checked",
     ),
+    "stream_two_outputs": _with(
+        _checked("record"),
+        "SELECT record, CASE WHEN errors = '' THEN 'valid' ELSE 'quarantine' END AS status, errors, "
+        "errors = '' AS scored FROM checked",
+    ),
+    "permutation_ranks": _with(
+        OBS,
+        "SELECT feature, n AS rows, feature = 'land_cover' AS first "
+        "FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM observations), "
+        "(SELECT unnest(['slope_deg', 'land_cover', 'ndvi', 'curvature']) AS feature)",
+    ),
     "scored_heat_totals": _with(
         f"{OBS}, pts AS (SELECT latitude, longitude, 0.0e0 AS score FROM observations), {_tiles()}, "
         "zooms AS (SELECT CAST(9 - up AS INTEGER) AS z, x >> up AS tx, y >> up AS ty "

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoscore.functions.scores import (
     VOTE_WEIGHTS,
@@ -18,8 +20,8 @@ from geoscore.functions.scores import (
 )
 from geoscore.functions.spatial import grid_cell, grid_cell_bound
 from geoscore.operators import folds as fold_ops
-from geoscore.operators import metrics, profile, ranking, tiles, validate
-from geoscore.plans import heat, learners, scoring, trees, validation
+from geoscore.operators import ledger, metrics, profile, ranking, tiles, validate
+from geoscore.plans import heat, importance, learners, levels, scoring, trees, validation
 from geoscore.plans.model import RiskModel, fit, importance_ranking
 from geoscore.schema import (
     FEATURES,
@@ -32,6 +34,7 @@ from geoscore.sources import tables
 from geoscore.sources.sinks import write_lines, write_record, write_report, write_scores
 from geoscore.sources.storage import scratch_path, store
 from geoscore.streaming.score_stream import read_record_stream, score_stream, write_score_stream
+from geoscore.streaming.two_outputs import TwoOutputs
 from geoscore.workload.views import LAND_COVER, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +314,24 @@ def metrics_sink(spark, sf_dir):
     return _rounded(out, "roc_auc", "pr_auc")
 
 
+DAYS = ("2024-06-01", "2024-06-02", "2024-06-03", "2024-06-04")
+
+
+@query
+def metrics_of_days(spark, sf_dir):
+    """Metrics from stored counts per day, one day corrected later: of all days and of two."""
+    path = scratch_path(spark, "ledger")
+    rows = _scored(spark, sf_dir).withColumn("day", F.pmod(F.floor(F.col("obs_id") / 100), F.lit(len(DAYS))))
+    for i, day in enumerate(DAYS):
+        ledger.record_day(rows.filter(F.col("day") == (0 if i == 2 else i)), path, day, "score", "label")
+    ledger.record_day(rows.filter("day = 2"), path, DAYS[2], "score", "label")
+    frames = [
+        ledger.record_of_days(spark, path, days).select(F.lit(name).alias("days"), *METRICS_COLUMNS)
+        for name, days in (("all", None), ("two", DAYS[1:3]))
+    ]
+    return _rounded(frames[0].unionByName(frames[1]), "roc_auc", "pr_auc")
+
+
 @query
 def report_sink(spark, sf_dir):
     """The threshold report, written as one CSV file and read back."""
@@ -402,6 +423,39 @@ def fold_leak_check(spark, sf_dir):
     )
 
 
+@query
+def heavy_cells(spark, sf_dir):
+    """A third of all rows in one cell and much in two more: no cell is split, and the classes
+    are spread more evenly than by dealing back and forth."""
+    n = F.col("obs_id")
+    cell = (
+        F.when(n % 3 == 0, "heavy")
+        .when(n % 7 == 1, "large")
+        .when(n % 11 == 2, "broad")
+        .otherwise(grid_cell("latitude", "longitude"))
+    )
+    rows = view(spark, sf_dir, "scored").withColumn("cell", cell).select("cell", "label")
+    totals = metrics.class_balance(rows, "label").first()
+    folded = fold_ops.assign_folds(rows, "cell", "label", most_groups=grid_cell_bound(), heavy=True)
+    plain = fold_ops.assign_folds(rows, "cell", "label", most_groups=grid_cell_bound())
+
+    def unevenness(df, name):
+        pos, neg = F.col("pos") / totals["pos_rows"], F.col("neg") / totals["neg_rows"]
+        return fold_ops.fold_balance(df, "label").agg(F.sum(pos * pos + neg * neg).alias(name))
+
+    checked = metrics.gather(
+        [
+            fold_ops.fold_balance(folded, "label").agg(
+                F.count(F.lit(1)).alias("folds"), F.sum("groups").alias("cells"), F.sum(F.col("pos") + F.col("neg")).alias("rows")
+            ),
+            fold_ops.split_groups(folded).agg(F.count(F.lit(1)).alias("split_cells")),
+            unevenness(folded, "ours"),
+            unevenness(plain, "dealt"),
+        ]
+    )
+    return checked.select("folds", "cells", "rows", "split_cells", (F.col("ours") < F.col("dealt")).alias("more_even"))
+
+
 # --- encoding and tiles --------------------------------------------------------
 
 
@@ -415,6 +469,18 @@ def one_hot_encode(spark, sf_dir):
     return encoded.select("event_id", "land_cover", "soil_type", F.array_join(marks, "").alias("indicators"))
 
 
+@query
+def level_slots(spark, sf_dir):
+    """The same indicators from tables of levels."""
+    rows = _observations(spark, sf_dir).select("event_id", "land_cover", "soil_type")
+    indexes = levels.level_indexes(rows, ["land_cover", "soil_type"])
+    found, size = levels.with_slots(rows, indexes)
+    marks = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("slots", i.cast("bigint")).cast("int").cast("string")
+    )
+    return found.select("event_id", "land_cover", "soil_type", F.array_join(marks, "").alias("indicators"))
+
+
 @query
 def point_layer(spark, sf_dir):
     return tiles.point_layer(_scored(spark, sf_dir), "latitude", "longitude", "score")
@@ -768,6 +834,54 @@ def stream_checked(spark, sf_dir):
     )
 
 
+class _Interrupted(TwoOutputs):
+    """Breaks off in its second batch, between the two tables."""
+
+    def write_table(self, rows, table, batch):
+        if (table, batch) == ("quarantine", 1):
+            raise InterruptedError("stopped between two tables")
+        super().write_table(rows, table, batch)
+
+
+@query
+def stream_two_outputs(spark, sf_dir):
+    """Every record by table, after a stream that broke off between its tables and went on."""
+
+    def make():
+        inbox, out, log = (scratch_path(spark, n) for n in ("inbox", "two-outputs", "two-outputs-log"))
+        view(spark, sf_dir, "records").select("record").repartition(3).write.text(inbox)
+        scored = score_stream(_model(spark, sf_dir), read_record_stream(spark, inbox, files_per_trigger=1))
+        try:
+            _Interrupted(out, log).start(scored, once=True).awaitTermination()
+        except StreamingQueryException as stopped:
+            if "stopped between two tables" not in str(stopped):
+                raise
+        outputs = TwoOutputs(out, log)
+        outputs.start(scored, once=True).awaitTermination()
+        return outputs
+
+    outputs = _once(spark, sf_dir, "two-outputs", make)
+    valid, bad = (outputs.read(spark, t) for t in ("valid", "quarantine"))
+    return valid.select(
+        "record", F.lit("valid").alias("status"), F.lit("").alias("errors"), F.col("risk_probability").isNotNull().alias("scored")
+    ).unionByName(
+        bad.select("record", F.lit("quarantine").alias("status"), F.array_join("errors", ",").alias("errors"), F.lit(False).alias("scored"))
+    )
+
+
+@query
+def permutation_ranks(spark, sf_dir):
+    """Of a model of a planted label: rows scored per shuffled feature, and whether its loss is that of the planted one."""
+    features = ("slope_deg", "land_cover", "ndvi", "curvature")
+    rows = _observations(spark, sf_dir).withColumn(LABEL, F.col("land_cover").isin(*PLANTED_LEVELS).cast("int"))
+    model = _once(
+        spark, sf_dir, "planted-model", lambda: fit(rows, "event_id", [learners.boosted_a(2)], features=features)
+    )
+    found = importance.permutation_importance(model, rows, "event_id", LABEL)
+    first = F.col("auc_drop") == F.max("auc_drop").over(Window.partitionBy(F.lit(0)))
+    return found.select("feature", "rows", (first & (F.col("auc_drop") > 0.2)).alias("first"))
+
+
 @query
 def scored_heat_layer(spark, sf_dir):
     return heat.heat_layer(_model(spark, sf_dir), _observations(spark, sf_dir))

@@ -40,6 +40,8 @@ MODEL_QUERIES = WITHOUT_SQL | {
     "staged_losses",
     "same_trees",
     "interrupted_save",
+    "stream_two_outputs",
+    "permutation_ranks",
 }
 # Queries over the scored points that must read their source once, eager jobs included.
 ONE_SCAN = (
