@@ -2,12 +2,13 @@
 
 A text, A-Z in lower case, is a sequence of bytes and an end. Each byte is a path of binary
 decisions in a prefix code, short for frequent bytes, so frequent bytes take few steps.
-Every context (``CONTEXTS``: the last bytes, or the word so far with the one before) has
+Every context (``CONTEXTS``: the last bytes, or the word so far) has
 counts of both outcomes at each step, gathered by Spark from all training documents. A
 prediction is the log odds of those counts. Predictions are added with weights
 from a set that a gate picks, by which contexts have been seen, and each document refines
-its weights as it is read: after every stretch (doubling in length) they move along the
-gradient of the coding cost. The cost of all decisions gives total bits, and bits per byte.
+its weights as it is read: after every stretch, the first of ``STRETCH`` decisions, each double
+the one before up to ``LONGEST``, they move along the gradient of the coding cost. The cost of
+all decisions gives total bits, and bits per byte.
 
 The base score is the add-one unigram over tokens. A block of documents lists its distinct
 tokens once; counts are summed per token over all blocks and come back to each block, so
@@ -32,35 +33,35 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoscore.llm.common import crc_remainder, raw, rows_of, share, words
+from geoscore.llm.common import crc_remainder, raw, rows_of, share
 from geoscore.sources.storage import store
 
 #: What predicts: so many of the last bytes, and then the word so far.
 ORDERS = (3, 5)
 CONTEXTS = (*ORDERS, "word")
-#: Slots of each table that :func:`costs` is given, as a power of two.
-SLOT_BITS = (20, 22, 22)
 #: Text whose pairs of all contexts are summed in one part.
 PART_BYTES = 16 << 20
 #: Steps of log odds kept in a byte.
 STEPS = 10
-#: Text of a block, and of a batch of the byte model.
+#: Text of a block, and of a batch of the byte model; the model of a batch fits the cache.
 BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 1 << 17
-#: Decisions in a document's first stretch.
-STRETCH = 2048
+BATCH_BYTES = 1 << 15
+#: Decisions in a document's first stretch, and in the longest.
+STRETCH, LONGEST = 256, 4096
 #: Where every document's weights start; the gate adds 1 if the longer history, 2 if the word, is known.
 WEIGHTS = np.array([[0.76, 0, 0], [0.72, 0.39, 0], [0.47, 0, 0.27], [0.3, 0.57, 0.29]], np.float32)
 RATE = 0.6
+#: The gate and the input of each weight that can matter: an unknown context gives no log odds.
+GATE_OF = np.array([0, 1, 2, 3, 1, 3, 2, 3])
+INPUT_OF = np.array([0, 0, 0, 0, 1, 1, 2, 2])
 END = 255
 
-_U32 = np.uint32
-
 
 @dataclass
 class Code:
@@ -105,20 +106,19 @@ def prefix_code(counts: np.ndarray) -> Code:
 def context(data: np.ndarray, begins: np.ndarray, kind: int | str) -> np.ndarray:
     """Every byte's context in 56 bits; documents start anew at ``begins``."""
     n = len(data)
-    first = np.zeros(n, bool)
-    first[begins] = True
-    index = np.arange(n, dtype=np.int32)
     if kind != "word":
-        place = index - np.maximum.accumulate(np.where(first, index, 0))
+        wide = data.astype(np.uint64)
         recent = np.zeros(n, np.uint64)
         for k in range(1, kind + 1):
-            byte = np.zeros(n, np.uint64)
-            byte[k:] = data[:-k]
-            byte[place < k] = 0
-            recent |= byte << np.uint64(8 * (k - 1))
+            recent[k:] |= wide[:-k] << np.uint64(8 * (k - 1))
+        for k in range(kind):  # what stands before the document is no context
+            early = begins + k
+            recent[early[early < n]] &= np.uint64((1 << 8 * k) - 1)
         return recent
+    index = np.arange(n, dtype=np.int32)
+    fresh = np.zeros(n, bool)
+    fresh[begins] = True
     # Words start after white space, and with the document.
-    fresh = first
     fresh[1:] |= data[:-1] <= 32
     start = np.maximum.accumulate(np.where(fresh, index, 0))
     powers, inverses = _powers(n + 1)
@@ -154,52 +154,43 @@ def steps(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndar
     return reps, ends - reps, at
 
 
-def costs(documents: Sequence[bytes], code: Code, tables: Sequence[np.ndarray]) -> np.ndarray:
-    """Bits of each document by log odds in hashed tables."""
-    data, sizes = joined(documents)
-    begins = np.cumsum(sizes) - sizes
-    reps, _, at = steps(data, code)
-    step = code.nodes[at] * _U32(0xCC9E2D51)
-    inputs = []
-    for kind, width, table in zip(CONTEXTS, SLOT_BITS, tables):
-        x = context(data, begins, kind) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (np.repeat((x >> np.uint64(32)).astype(np.uint32), reps) ^ step) * _U32(0x1B873593)
-        x ^= x >> _U32(16)
-        x *= _U32(0x85EBCA6B)
-        inputs.append(table[x >> _U32(32 - width)].astype(np.float32))
-    return mixed(np.add.reduceat(reps, begins), code.bits[at], inputs)
-
-
 def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> np.ndarray:
-    """Bits of each document of so many decisions, its weights refined stretch by stretch."""
-    gates = (inputs[1] != 0).astype(np.intp)
-    gates += 2 * (inputs[2] != 0)
-    signs = np.float32(1) - np.float32(2) * bit
-    total = np.zeros(len(sizes))
+    """Bits of each document of so many decisions, its weights refined stretch by stretch.
+
+    A weight of a gate is the weight of a row that is zero where another gate holds. Rows carry the
+    sign of what did not come, so that weights times rows are the log odds of a wrong decision.
+    """
+    x, longer, word = (i * (np.float32(1) - np.float32(2) * bit) for i in inputs)
+    gates = np.empty((4, len(bit)), np.float32)
+    np.not_equal(longer, 0, out=gates[1], casting="unsafe")
+    np.not_equal(word, 0, out=gates[2], casting="unsafe")
+    np.multiply(gates[1], gates[2], out=gates[3])
+    gates[1:3] -= gates[3]
+    np.subtract(1, gates[1:].sum(axis=0), out=gates[0])
+    rows = np.empty((len(GATE_OF), len(bit)), np.float32)
+    np.multiply(gates, x, out=rows[:4])
+    np.multiply(gates[1::2], longer, out=rows[4:6])
+    np.multiply(gates[2:], word, out=rows[6:])
+    above = np.empty(len(bit), np.float32)
+    ones = np.ones(LONGEST, np.float32)
     ends = np.cumsum(sizes)
-    for d, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-        weights = list(WEIGHTS.T / np.float32(STEPS))
-        stretch = STRETCH
+    start = WEIGHTS[GATE_OF, INPUT_OF] / np.float32(STEPS)
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+        weights, stretch = start, STRETCH
         while begin < end:
             now = slice(begin, min(begin + stretch, end))
-            gate, x = gates[now], [i[now] for i in inputs]
-            # Minus the log odds of what came, then the odds of what didn't.
-            odds = weights[0][gate] * x[0]
-            for w, i in zip(weights[1:], x[1:]):
-                odds += w[gate] * i
-            odds *= signs[now]
+            x = rows[:, now]
+            odds = weights @ x
             np.minimum(odds, np.float32(30), out=odds)
             np.exp(odds, out=odds)
-            above = odds + np.float32(1)
-            total[d] += np.log(above).sum(dtype=np.float64)
-            begin, stretch = now.stop, stretch * 2
+            np.add(odds, np.float32(1), out=above[now])
+            begin, stretch = now.stop, min(stretch * 2, LONGEST)
             if begin < end:  # what ends here has no use for better weights
-                odds /= above
-                odds *= signs[now]
-                seen = (np.bincount(gate, minlength=len(WEIGHTS)) + 64) * STEPS**2 / RATE
-                pushes = [np.bincount(gate, odds * i, len(WEIGHTS)) for i in x]
-                weights = [w - (push / seen).astype(np.float32) for w, push in zip(weights, pushes)]
-    return total / np.log(2)
+                odds /= above[now]
+                seen = gates[:, now] @ ones[: len(odds)] + np.float32(64)
+                weights = weights - x @ odds * (np.float32(RATE / STEPS**2) / seen)[GATE_OF]
+    np.log2(above, out=above)
+    return np.add.reduceat(above.astype(np.float64), ends - sizes)
 
 
 def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
@@ -221,15 +212,13 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
 
         block = TaskContext.get().partitionId() << 24
         pack = zstandard.ZstdCompressor(level=3)
-        vocabulary: dict[bytes, int] = Numbers()
-        trained = np.zeros(0, np.int64)
         histogram = np.zeros(256, np.int64)
         size = 0
         texts: list[bytes] = []
         out: list[bool] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            yield tokens()
+            yield listed()
             learned = ~np.repeat(np.array(out), [len(t) + 1 for t in texts])
             for k, kind in enumerate(CONTEXTS):
                 keys, part, pair = pairs(texts, kind, parts)
@@ -248,33 +237,29 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
                     },
                 )
 
-        def tokens() -> pa.RecordBatch:
-            n = len(vocabulary)
-            found = np.zeros(n, np.int64)
-            found[: len(trained)] = trained
+        def listed() -> pa.RecordBatch:
+            found, number, document = tokens(texts)
+            train = ~np.array(out)
+            n = np.bincount(number[train[document]], minlength=len(found))
+            n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
             return rows(
-                n,
+                len(found),
                 {
-                    "kind": pa.array(np.full(n, 1, np.int32)),
-                    "block": pa.array(np.full(n, block)),
-                    id_col: pa.nulls(n, types[2]),
-                    "token": pa.array(list(vocabulary), pa.binary()),
-                    "number": pa.array(np.arange(n, dtype=np.int32)),
-                    "n": pa.array(found),
+                    "kind": pa.array(np.full(len(found), 1, np.int32)),
+                    "block": pa.array(np.full(len(found), block)),
+                    id_col: pa.nulls(len(found), types[2]),
+                    "token": found.cast(pa.binary()),
+                    "number": pa.array(np.arange(len(found), dtype=np.int32)),
+                    "n": pa.array(n),
                 },
             )
 
-        for part in rows_of(batches, BATCH_BYTES * 8):
+        for part in rows_of(batches):
             types[2] = part.column(0).type
             documents, held = raw(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
-            numbers = [numbered(text, vocabulary) for text in documents]
-            learned = [x for x, h in zip(numbers, held) if not h]
+            learned = [t for t, h in zip(documents, held) if not h]
             if learned:
-                fresh = np.bincount(np.concatenate(learned), minlength=len(vocabulary))
-                fresh[: len(trained)] += trained
-                trained = fresh
-                seen = b"".join(t.lower() + b"\xff" for t, h in zip(documents, held) if not h)
-                histogram += np.bincount(np.frombuffer(seen, np.uint8), minlength=256)
+                histogram += np.bincount(joined(learned)[0], minlength=256)
             n = part.num_rows
             yield rows(
                 n,
@@ -294,9 +279,8 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
                 yield from close()
                 block, size = block + 1, 0
                 texts, out = [], []
-                vocabulary, trained = Numbers(), np.zeros(0, np.int64)
         if types[2] is not None:
-            if vocabulary:
+            if texts:
                 yield from close()
             yield rows(
                 256,
@@ -311,19 +295,22 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
     return docs.mapInArrow(run, out_schema)
 
 
-class Numbers(dict):
-    """Token to its number in the block."""
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        return n
-
-
-def numbered(text: bytes, vocabulary: Numbers) -> np.ndarray:
-    """The numbers of a text's tokens and of its end; new tokens get the next ones."""
-    coded = list(map(vocabulary.__getitem__, words(text)))
-    coded.append(vocabulary[b""])
-    return np.array(coded, np.int32)
+def tokens(documents: Sequence[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens, the end being the empty one; the number and the document of each that isn't an end."""
+    text = b"".join(d.lower() for d in documents)
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in documents])]).astype(np.int64)
+    column = pa.LargeStringArray.from_buffers(len(documents), pa.py_buffer(offsets), pa.py_buffer(text))
+    split = pc.ascii_split_whitespace(column)
+    flat = split.flatten().dictionary_encode()
+    found = flat.dictionary.view(pa.large_binary())
+    document = np.repeat(np.arange(len(documents), dtype=np.int32), np.diff(split.offsets.to_numpy()))
+    number = flat.indices.to_numpy()
+    # White space at either side leaves empty words.
+    empty = pc.index(found, pa.scalar(b"", pa.large_binary())).as_py()
+    if empty < 0:
+        return pa.concat_arrays([found, pa.array([b""], pa.large_binary())]), number, document
+    word = number != empty
+    return found, number[word], document[word]
 
 
 def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,9 +323,8 @@ def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.n
         data, sizes = joined(few)
         keys[end : end + len(data)] = context(data, np.cumsum(sizes) - sizes, kind) << np.uint64(8) | data
         end += len(data)
-    found = pa.array(keys).dictionary_encode()
+    values, index = by_word(keys) if kind == "word" else encoded(keys)
     del keys
-    values, index = found.dictionary.to_numpy(), found.indices.to_numpy()
     x = (values >> np.uint64(8)) * np.uint64(0xD1342543DE82EF95)
     part = ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
     order = np.argsort(values)
@@ -348,6 +334,29 @@ def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.n
     return values[order], part[order].astype(np.int64), place[index]
 
 
+def encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in the order of their first places, and the number of each key."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def by_word(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`encoded`, by way of the distinct words: the pair that ends a word tells all its pairs."""
+    last = keys & np.uint64(255)
+    stops = np.flatnonzero((last <= 32) | (last == END)).astype(np.int32)
+    lengths = np.diff(stops, prepend=np.int32(-1))
+    word = encoded(keys[stops])[1]
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(word), prepend=-1))
+    size = lengths[first]
+    if (lengths != size[word]).any():  # two words of one hash
+        return encoded(keys)
+    begins = np.cumsum(size, dtype=np.int32) - size
+    values, index = encoded(keys[np.repeat(stops[first] + 1 - size - begins, size) + np.arange(size.sum(), dtype=np.int32)])
+    at = np.repeat(begins[word] - (stops + 1 - lengths), lengths)
+    at += np.arange(len(keys), dtype=np.int32)
+    return values, index[at]
+
+
 def batches_of(documents: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
     """Documents in runs of about ``BATCH_BYTES``, or one."""
     begin = size = 0
@@ -441,9 +450,9 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
     for few in batches_of(documents):
         data, sizes = joined(few)
         reps, starts, at = steps(data, code)
-        index = np.arange(len(at), dtype=np.int32)
+        index = np.arange(len(at))
         now = slice(begin, begin + len(data))
-        inputs = [o[np.repeat(b[now] - starts, reps) + index].astype(np.float32) for o, b in known]
+        inputs = [o.take(np.repeat(b[now] - starts, reps) + index).astype(np.float32) for o, b in known]
         out.append(mixed(np.add.reduceat(reps, np.cumsum(sizes) - sizes), code.bits[at], inputs))
         begin = now.stop
     return np.concatenate(out)
@@ -451,9 +460,9 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
 
 def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFrame:
     """Per document n_tokens, n_known, train_tokens and the scores."""
-    tokens = observed.filter("kind = 1").select("block", "token", "number", "n")
+    entries = observed.filter("kind = 1").select("block", "token", "number", "n")
     by_token = Window.partitionBy("token")
-    counted = tokens.withColumn("c", F.sum("n").over(by_token)).withColumn(
+    counted = entries.withColumn("c", F.sum("n").over(by_token)).withColumn(
         "first", F.row_number().over(by_token.orderBy("block")) == 1
     )
     counted = store(counted.select("block", "number", "c", "n", "first"), "lm-counts")
@@ -477,16 +486,17 @@ def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFram
         c = np.zeros(len(counts), np.int64)
         c[counts["number"].to_numpy(int)] = counts["c"].to_numpy(np.int64)
         logs = np.log10(c + 1.0) - log_all
-        vocabulary = Numbers()
-        numbers = [numbered(text, vocabulary) for text in texts]
+        found, number, document = tokens(texts)
+        end = pc.index(found, pa.scalar(b"", found.type)).as_py()
+        n = len(texts)
         return pd.DataFrame(
             {
                 id_col: docs[id_col],
                 "held_out": docs["held_out"],
-                "n_tokens": [len(x) for x in numbers],
-                "n_known": [int((c[x] > 0).sum()) for x in numbers],
+                "n_tokens": np.bincount(document, minlength=n) + 1,
+                "n_known": np.bincount(document[c[number] > 0], minlength=n) + int(c[end] > 0),
                 "train_tokens": total,
-                "base_score": [float(logs[x].sum()) for x in numbers],
+                "base_score": np.bincount(document, logs[number], n) + logs[end],
                 "score": bits * -np.log10(2),
                 "bits_per_byte": bits / np.array([len(t) + 1 for t in texts]),
             }

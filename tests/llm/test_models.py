@@ -46,26 +46,70 @@ def test_scores_beside_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (5, 2), (5, 2), (5, 3), (2**60 + 1, 3)]
 
 
-def test_model_is_a_probability():
-    """Over all one-byte texts and the rest, probabilities of the first byte sum to one."""
-    code = mixing.prefix_code(np.arange(256) ** 2 % 97)
-    assert abs((2.0 ** -code.lengths.astype(float)).sum() - 1) < 1e-12
+def plain_bits(bits, odds):
+    """Bits of one text's decisions, one at a time; weights move at the end of each stretch."""
+    weights, total, at, stretch = mixing.WEIGHTS.astype(float), 0.0, 0, 256
+    while at < len(bits):
+        push, seen = np.zeros((4, 3)), np.full(4, 64.0)
+        for i in range(at, min(at + stretch, len(bits))):
+            x = np.array([o[i] for o in odds], float) / 10
+            gate = (x[1] != 0) + 2 * (x[2] != 0)
+            p = 1 / (1 + math.exp(-weights[gate] @ x))  # of a one
+            total -= math.log2(p if bits[i] else 1 - p)
+            push[gate] += (bits[i] - p) * x
+            seen[gate] += 1
+        weights = weights + mixing.RATE * push / seen[:, None]
+        at, stretch = at + stretch, min(2 * stretch, 4096)
+    return total
+
+
+def test_mixing_against_one_decision_at_a_time():
     rng = np.random.default_rng(3)
-    tables = [rng.integers(-30, 30, 1 << w).astype(np.int8) for w in mixing.SLOT_BITS]
-    # The end is one more byte: what all texts "<byte>" cost before their ends sums to one with the empty text.
-    first = [2.0 ** -mixing.costs([bytes([b])], code, tables)[0] for b in range(255) if not 65 <= b <= 90]
-    assert 0 < sum(first) < 1
+    sizes = np.array([1, 300, 9000, 256, 770, 14000])
+    bits = rng.integers(0, 2, sizes.sum()).astype(np.uint8)
+    odds = [(rng.integers(-25, 25, sizes.sum()) + 12 * bits - 6) * rng.integers(0, 2, sizes.sum()) for _ in range(3)]
+    got = mixing.mixed(sizes, bits, [o.astype(np.float32) for o in odds])
+    ends = np.cumsum(sizes)
+    for d, (a, b) in enumerate(zip(ends - sizes, ends)):
+        want = plain_bits(bits[a:b], [o[a:b] for o in odds])
+        assert abs(got[d] - want) < 1e-4 * want
+        # A text's cost is the same whatever it is scored with.
+        alone = mixing.mixed(sizes[d : d + 1], bits[a:b], [o[a:b].astype(np.float32) for o in odds])
+        assert np.isclose(alone[0], got[d], rtol=1e-6)
 
 
-def test_documents_score_alone():
-    """A text's cost is the same whatever it is scored with."""
-    rng = random.Random(2)
-    texts = [prose(n, rng).encode() for n in (1, 50, 400, 3)]
-    code = mixing.prefix_code(np.ones(256, int))
-    tables = [np.random.default_rng(4).integers(-20, 20, 1 << w).astype(np.int8) for w in mixing.SLOT_BITS]
-    together = mixing.costs(texts, code, tables)
-    alone = [mixing.costs([t], code, tables)[0] for t in texts]
-    assert np.allclose(together, alone, rtol=1e-6)
+def test_model_is_a_probability():
+    """With any log odds at the nodes of the code, the probabilities of all bytes sum to one."""
+    code = mixing.prefix_code(np.arange(256) ** 2 % 97)
+    assert abs((2.0 ** -code.lengths.astype(float)).sum() - 1) < 1e-12
+    odds = np.random.default_rng(3).integers(-30, 30, (3, 256)).astype(np.float32)
+    bits = mixing.mixed(code.lengths, code.bits, [o[code.nodes] for o in odds])
+    assert abs((2.0**-bits).sum() - 1) < 1e-5
+
+
+def test_blocks_and_parts_leave_scores_alone(documents, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng.randint(0, 400), rng) for _ in range(120)] + [*ODD]
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    whole = {r.doc_id: r for r in mixing.score_texts(documents(texts)).select(columns).collect()}
+    for name, size in (("BLOCK_BYTES", 4000), ("PART_BYTES", 9000), ("BATCH_BYTES", 700)):
+        monkeypatch.setattr(mixing, name, size)
+    for r in mixing.score_texts(documents(texts).repartition(3)).select(columns).collect():
+        want = whole[r.doc_id]
+        assert r[:4] == want[:4] and np.allclose(r[4:], want[4:], rtol=1e-6)
+
+
+def test_tokens_and_pairs_of_words():
+    texts = [b"", b" ", b"Ab  ab\x0bc\x1cd ", b"\xc3\x89 e\x00f", b"ab"]
+    found, number, document = mixing.tokens(texts)
+    got = [[] for _ in texts]
+    for n, d in zip(number, document):
+        got[d].append(found[int(n)].as_py())
+    assert got == [t.lower().split() for t in texts]
+    assert b"" in found.to_pylist() and len(set(found.to_pylist())) == len(found)
+    keys = np.concatenate([mixing.context(*mixing.joined([t])[:1], np.array([0]), "word") << np.uint64(8) | mixing.joined([t])[0] for t in texts])
+    for (values, index), (plain, places) in [(mixing.by_word(keys), mixing.encoded(keys))]:
+        assert (values[index] == keys).all() and (plain[places] == keys).all() and sorted(values) == sorted(plain)
 
 
 def test_learning_lowers_the_cost(documents):
