@@ -11,8 +11,8 @@ the one before up to ``LONGEST``, they move along the gradient of the coding cos
 all decisions gives total bits, and bits per byte.
 
 The base score is the add-one unigram over tokens. A block of documents lists its distinct
-tokens once; counts are summed per token over all blocks and come back to each block, so
-no vocabulary is ever held whole in one place. The model goes the same way: a block lists its
+tokens once, packed by parts that a hash of the token deals; counts are summed per token over
+all blocks and come back to each block, so no vocabulary is ever held whole in one place. The model goes the same way: a block lists its
 distinct pairs of a context and the byte after it, counts are summed per pair in parts dealt by
 a hash of the context, and the log odds along each byte's path come back to the blocks that
 listed it. The last bytes are kept as they are and words by 56 bits of hash, so contexts don't
@@ -27,6 +27,7 @@ an empty table gives an empty one.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoscore.llm.common import crc_remainder, raw, rows_of, share
@@ -240,17 +241,21 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
         def listed() -> pa.RecordBatch:
             found, number, document = tokens(texts)
             train = ~np.array(out)
-            n = np.bincount(number[train[document]], minlength=len(found))
+            n = np.bincount(number[train[document]], minlength=len(found)).astype(np.uint32)
             n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
+            order, part = dealt(found, parts)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
             return rows(
-                len(found),
+                len(spans),
                 {
-                    "kind": pa.array(np.full(len(found), 1, np.int32)),
-                    "block": pa.array(np.full(len(found), block)),
-                    id_col: pa.nulls(len(found), types[2]),
-                    "token": found.cast(pa.binary()),
-                    "number": pa.array(np.arange(len(found), dtype=np.int32)),
-                    "n": pa.array(n),
+                    "kind": pa.array(np.full(len(spans), 1, np.int32)),
+                    "block": pa.array(np.full(len(spans), block)),
+                    id_col: pa.nulls(len(spans), types[2]),
+                    "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
+                    # A token holds no line end.
+                    "token": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
+                    "number": pa.array(part[cuts].astype(np.int32)),
                 },
             )
 
@@ -313,6 +318,14 @@ def tokens(documents: Sequence[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray
     return found, number[word], document[word]
 
 
+def dealt(found: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of tokens in the order of their parts and then of themselves; each one's part."""
+    part = np.fromiter(map(zlib.crc32, found.to_pylist()), np.int64, len(found)) % parts
+    order = pc.sort_indices(found).to_numpy()
+    order = order[np.argsort(part[order], kind="stable")]
+    return order, part[order]
+
+
 def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of a context and the byte after it, by part and pair; each one's part; each byte's pair.
 
@@ -409,6 +422,35 @@ def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndar
     return out, begins, lengths, inverse
 
 
+def token_counts(observed: DataFrame) -> DataFrame:
+    """Per block and part, the sums over all blocks for the block's tokens, in their order.
+
+    ``n`` and ``known`` add up to all training tokens and the distinct ones.
+    """
+
+    def add(part: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        lists = [unpack.decompress(x).split(b"\n") for x in part["token"].to_pylist()]
+        found = pa.chunked_array([pa.array(x, pa.binary()) for x in lists]).combine_chunks().dictionary_encode()
+        index = found.indices.to_numpy()
+        sums = np.zeros(len(found.dictionary), np.int64)
+        np.add.at(sums, index, np.concatenate([unpacked(x, np.uint32) for x in part["numbers"].to_pylist()]).astype(np.int64))
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        once = np.arange(len(lists)) == 0
+        return pa.table(
+            {
+                "block": part["block"],
+                "part": part["number"],
+                "counts": pa.array([packed(x) for x in np.split(sums[index], cuts)], pa.binary()),
+                "n": pa.array(once * sums.sum()),
+                "known": pa.array(once * np.count_nonzero(sums)),
+            }
+        )
+
+    listed = observed.filter("kind = 1").select("block", "number", "token", "numbers")
+    return listed.groupBy("number").applyInArrow(add, "block bigint, part int, counts binary, n bigint, known bigint")
+
+
 def model(observed: DataFrame, code: Code) -> DataFrame:
     """Per block and part, the log odds along the paths of the block's pairs, in their order."""
     shared = share(observed, code)
@@ -460,14 +502,8 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
 
 def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFrame:
     """Per document n_tokens, n_known, train_tokens and the scores."""
-    entries = observed.filter("kind = 1").select("block", "token", "number", "n")
-    by_token = Window.partitionBy("token")
-    counted = entries.withColumn("c", F.sum("n").over(by_token)).withColumn(
-        "first", F.row_number().over(by_token.orderBy("block")) == 1
-    )
-    counted = store(counted.select("block", "number", "c", "n", "first"), "lm-counts")
-    known = F.sum((F.col("first") & (F.col("c") > 0)).cast("bigint"))
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(known, F.lit(0))).first()
+    counted = store(token_counts(observed), "lm-counts")
+    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     documents = observed.filter("kind = 0").select("block", id_col, "held_out", "number", "text")
     id_type = documents.schema[id_col].dataType.simpleString()
     # As text, since pandas turns integers beside nulls into floats.
@@ -478,15 +514,15 @@ def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFram
 
     def score(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         odds = back[back["odds"].notna()]
-        counts = back[back["odds"].isna()]
-        # In the order of the first pass, so that tokens get the same numbers.
+        counts = back[back["odds"].isna()].set_index("part")["counts"]
         docs = docs.sort_values("number", ignore_index=True)
         texts = list(map(zstandard.ZstdDecompressor().decompress, docs["text"]))
         bits = block_costs(texts, dict(zip(odds["part"].astype(int), odds["odds"])), parts, shared())
-        c = np.zeros(len(counts), np.int64)
-        c[counts["number"].to_numpy(int)] = counts["c"].to_numpy(np.int64)
-        logs = np.log10(c + 1.0) - log_all
         found, number, document = tokens(texts)
+        order, part = dealt(found, parts)
+        c = np.zeros(len(found), np.int64)
+        c[order] = np.concatenate([unpacked(counts[p], np.int64) for p in np.unique(part).tolist()])
+        logs = np.log10(c + 1.0) - log_all
         end = pc.index(found, pa.scalar(b"", found.type)).as_py()
         n = len(texts)
         return pd.DataFrame(
@@ -506,7 +542,7 @@ def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFram
         f"`{id_col}` string, held_out boolean, n_tokens bigint, n_known bigint, "
         "train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
-    right = counted.select("block", "number", "c").unionByName(model(observed, code), allowMissingColumns=True)
+    right = counted.select("block", "part", "counts").unionByName(model(observed, code), allowMissingColumns=True)
     out = documents.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(score, schema)
     return out.withColumn(id_col, F.col(id_col).cast(id_type))
 
