@@ -12,8 +12,8 @@ all decisions gives total bits, and bits per byte.
 
 The base score is the add-one unigram over tokens. A block of documents lists its distinct
 tokens once, packed by parts that a hash of the token deals; counts are summed per token over
-all blocks and come back to each block, so no vocabulary is ever held whole in one place. The model goes the same way: a block lists its
-distinct pairs of a context and the byte after it, counts are summed per pair in parts dealt by
+all blocks and come back to each block, so no vocabulary is ever held whole in one place. The model goes the same way: a block, stored as
+a row of packed texts, lists its distinct pairs of a context and the byte after it, counts are summed per pair in parts dealt by
 a hash of the context, and the log odds along each byte's path come back to the blocks that
 listed it. The last bytes are kept as they are and words by 56 bits of hash, so contexts don't
 share counts, and the number of parts follows the input.
@@ -195,111 +195,83 @@ def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> n
 
 
 def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """One pass: documents by their place in a block (kind 0), blocks' tokens (1), byte counts (2), blocks' pairs (3)."""
+    """One pass: blocks of documents (kind 0, a row each), their tokens by part (1), byte counts (2)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     out_schema = (
-        f"kind int, block bigint, `{id_col}` {id_type}, held_out boolean, numbers binary, "
-        "token binary, number int, n bigint, text binary"
+        f"kind int, block bigint, ids array<{id_type}>, held_out array<boolean>, "
+        "data binary, numbers binary, number int, n bigint"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "block", id_col, "held_out", "numbers", "token", "number", "n", "text"]
-        types = [pa.int32(), pa.int64(), None, pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["kind", "block", "ids", "held_out", "data", "numbers", "number", "n"]
+        types = [pa.int32(), pa.int64(), None, pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
-        def rows(n: int, given: dict) -> pa.RecordBatch:
+        def rows(kind: int, n: int, given: dict) -> pa.RecordBatch:
+            given |= {"kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block))}
             return pa.RecordBatch.from_arrays(
-                [given.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names=names
+                [given[c] if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names=names
             )
 
         block = TaskContext.get().partitionId() << 24
         pack = zstandard.ZstdCompressor(level=3)
         histogram = np.zeros(256, np.int64)
-        size = 0
         texts: list[bytes] = []
-        out: list[bool] = []
+        kept: list[tuple[pa.Array, pa.Array]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            yield listed()
-            learned = ~np.repeat(np.array(out), [len(t) + 1 for t in texts])
-            for k, kind in enumerate(CONTEXTS):
-                keys, part, pair = pairs(texts, kind, parts)
-                n = np.bincount(pair[learned], minlength=len(keys)).astype(np.uint32)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-                spans = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-                yield rows(
-                    len(spans),
-                    {
-                        "kind": pa.array(np.full(len(spans), 3, np.int32)),
-                        "block": pa.array(np.full(len(spans), block)),
-                        id_col: pa.nulls(len(spans), types[2]),
-                        "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
-                        "token": pa.array([packed(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
-                        "number": pa.array((k * parts + part[cuts]).astype(np.int32)),
-                    },
-                )
-
-        def listed() -> pa.RecordBatch:
+            held = pa.concat_arrays([held for _, held in kept])
+            whole = pa.array([0, len(texts)], pa.int32())
+            sizes = np.array([len(t) for t in texts], np.uint32)
+            given = {
+                "ids": pa.ListArray.from_arrays(whole, pa.concat_arrays([ids for ids, _ in kept])),
+                "held_out": pa.ListArray.from_arrays(whole, held),
+                "data": pa.array([pack.compress(b"".join(texts))], pa.binary()),
+                "numbers": pa.array([packed(sizes)], pa.binary()),
+            }
+            yield rows(0, 1, given)
             found, number, document = tokens(texts)
-            train = ~np.array(out)
+            train = ~held.to_numpy(zero_copy_only=False)
             n = np.bincount(number[train[document]], minlength=len(found)).astype(np.uint32)
             n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
             order, part = dealt(found, parts)
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
-            return rows(
-                len(spans),
-                {
-                    "kind": pa.array(np.full(len(spans), 1, np.int32)),
-                    "block": pa.array(np.full(len(spans), block)),
-                    id_col: pa.nulls(len(spans), types[2]),
-                    "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
-                    # A token holds no line end.
-                    "token": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
-                    "number": pa.array(part[cuts].astype(np.int32)),
-                },
-            )
+            given = {
+                # A token holds no line end.
+                "data": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
+                "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
+                "number": pa.array(part[cuts].astype(np.int32)),
+            }
+            yield rows(1, len(spans), given)
 
+        size = 0
         for part in rows_of(batches):
-            types[2] = part.column(0).type
+            types[2] = pa.list_(part.column(0).type)
             documents, held = raw(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
             learned = [t for t, h in zip(documents, held) if not h]
             if learned:
                 histogram += np.bincount(joined(learned)[0], minlength=256)
-            n = part.num_rows
-            yield rows(
-                n,
-                {
-                    "kind": pa.array(np.zeros(n, np.int32)),
-                    "block": pa.array(np.full(n, block)),
-                    id_col: part.column(0),
-                    "held_out": part.column(2),
-                    "number": pa.array(np.arange(len(texts), len(texts) + n, dtype=np.int32)),
-                    "text": pa.array(map(pack.compress, documents), pa.binary()),
-                },
-            )
             texts += documents
-            out += held.tolist()
+            kept.append((part.column(0), part.column(2)))
             size += part.nbytes
             if size >= BLOCK_BYTES:
                 yield from close()
-                block, size = block + 1, 0
-                texts, out = [], []
+                block, size, texts, kept = block + 1, 0, [], []
         if types[2] is not None:
             if texts:
                 yield from close()
-            yield rows(
-                256,
-                {
-                    "kind": pa.array(np.full(256, 2, np.int32)),
-                    id_col: pa.nulls(256, types[2]),
-                    "number": pa.array(np.arange(256, dtype=np.int32)),
-                    "n": pa.array(histogram),
-                },
-            )
+            yield rows(2, 256, {"number": pa.array(np.arange(256, dtype=np.int32)), "n": pa.array(histogram)})
 
     return docs.mapInArrow(run, out_schema)
 
 
+def documents_of(data: bytes, numbers: bytes) -> list[bytes]:
+    """The texts of a block."""
+    text = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(unpacked(numbers, np.uint32), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def tokens(documents: Sequence[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct tokens, the end being the empty one; the number and the document of each that isn't an end."""
     text = b"".join(d.lower() for d in documents)
@@ -430,7 +402,7 @@ def token_counts(observed: DataFrame) -> DataFrame:
 
     def add(part: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        lists = [unpack.decompress(x).split(b"\n") for x in part["token"].to_pylist()]
+        lists = [unpack.decompress(x).split(b"\n") for x in part["data"].to_pylist()]
         found = pa.chunked_array([pa.array(x, pa.binary()) for x in lists]).combine_chunks().dictionary_encode()
         index = found.indices.to_numpy()
         sums = np.zeros(len(found.dictionary), np.int64)
@@ -447,17 +419,36 @@ def token_counts(observed: DataFrame) -> DataFrame:
             }
         )
 
-    listed = observed.filter("kind = 1").select("block", "number", "token", "numbers")
+    listed = observed.filter("kind = 1").select("block", "number", "data", "numbers")
     return listed.groupBy("number").applyInArrow(add, "block bigint, part int, counts binary, n bigint, known bigint")
 
 
-def model(observed: DataFrame, code: Code) -> DataFrame:
+def model(observed: DataFrame, parts: int, code: Code) -> DataFrame:
     """Per block and part, the log odds along the paths of the block's pairs, in their order."""
     shared = share(observed, code)
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in rows_of(batches, 1):
+            texts = documents_of(block["data"][0].as_py(), block["numbers"][0].as_py())
+            held = block["held_out"].flatten().to_numpy(zero_copy_only=False)
+            learned = ~np.repeat(held, [len(t) + 1 for t in texts])
+            for k, kind in enumerate(CONTEXTS):
+                keys, part, pair = pairs(texts, kind, parts)
+                n = np.bincount(pair[learned], minlength=len(keys)).astype(np.uint32)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                spans = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": np.full(len(spans), block["block"][0].as_py()),
+                        "number": (k * parts + part[cuts]).astype(np.int32),
+                        "keys": pa.array([packed(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
+                        "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
+                    }
+                )
+
     def add(part: pa.Table) -> pa.Table:
         code = shared()
-        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in part["token"].to_pylist()]
+        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in part["keys"].to_pylist()]
         counts = [unpacked(x, np.uint32) for x in part["numbers"].to_pylist()]
         odds, begins, lengths, pair = path_odds(np.concatenate(keys), np.concatenate(counts), code)
         out, end = [], 0
@@ -471,8 +462,9 @@ def model(observed: DataFrame, code: Code) -> DataFrame:
         columns = [part["block"], part["number"], pa.array(out, pa.binary())]
         return pa.table(columns, names=["block", "part", "odds"])
 
-    listed = observed.filter("kind = 3").select("block", "number", "token", "numbers")
-    return listed.groupBy("number").applyInArrow(add, "block bigint, part int, odds binary")
+    blocks = observed.filter("kind = 0").select("block", "held_out", "data", "numbers")
+    dealt_out = blocks.mapInArrow(listed, "block bigint, number int, keys binary, numbers binary")
+    return dealt_out.groupBy("number").applyInArrow(add, "block bigint, part int, odds binary")
 
 
 def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int, code: Code) -> np.ndarray:
@@ -500,23 +492,23 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
     return np.concatenate(out)
 
 
-def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFrame:
+def scored(observed: DataFrame, id_col: str, id_type: str, parts: int, code: Code) -> DataFrame:
     """Per document n_tokens, n_known, train_tokens and the scores."""
     counted = store(token_counts(observed), "lm-counts")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    documents = observed.filter("kind = 0").select("block", id_col, "held_out", "number", "text")
-    id_type = documents.schema[id_col].dataType.simpleString()
-    # As text, since pandas turns integers beside nulls into floats.
-    documents = documents.withColumn(id_col, F.col(id_col).cast("string"))
+    # Ids as text, since pandas turns integers beside nulls into floats.
+    blocks = observed.filter("kind = 0").select(
+        "block", F.col("ids").cast("array<string>").alias("ids"), "held_out", "data", "numbers"
+    )
     log_all = float(np.log10(total + distinct + 1))
 
     shared = share(observed, code)
 
-    def score(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    def score(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        [block] = blocks.itertuples()
+        texts = documents_of(block.data, block.numbers)
         odds = back[back["odds"].notna()]
         counts = back[back["odds"].isna()].set_index("part")["counts"]
-        docs = docs.sort_values("number", ignore_index=True)
-        texts = list(map(zstandard.ZstdDecompressor().decompress, docs["text"]))
         bits = block_costs(texts, dict(zip(odds["part"].astype(int), odds["odds"])), parts, shared())
         found, number, document = tokens(texts)
         order, part = dealt(found, parts)
@@ -527,8 +519,8 @@ def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFram
         n = len(texts)
         return pd.DataFrame(
             {
-                id_col: docs[id_col],
-                "held_out": docs["held_out"],
+                id_col: list(block.ids),
+                "held_out": list(block.held_out),
                 "n_tokens": np.bincount(document, minlength=n) + 1,
                 "n_known": np.bincount(document[c[number] > 0], minlength=n) + int(c[end] > 0),
                 "train_tokens": total,
@@ -542,8 +534,8 @@ def scored(observed: DataFrame, id_col: str, parts: int, code: Code) -> DataFram
         f"`{id_col}` string, held_out boolean, n_tokens bigint, n_known bigint, "
         "train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
-    right = counted.select("block", "part", "counts").unionByName(model(observed, code), allowMissingColumns=True)
-    out = documents.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(score, schema)
+    right = counted.select("block", "part", "counts").unionByName(model(observed, parts, code), allowMissingColumns=True)
+    out = blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(score, schema)
     return out.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
@@ -572,4 +564,4 @@ def score_texts(
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     parts = 1 + size // PART_BYTES
     observed = store(observe(rows, id_col, parts), "lm-tokens", ["kind"])
-    return scored(observed, id_col, parts, byte_code(observed))
+    return scored(observed, id_col, rows.schema[id_col].dataType.simpleString(), parts, byte_code(observed))
