@@ -51,7 +51,7 @@ PART_BYTES = 16 << 20
 #: Steps of log odds kept in a byte.
 STEPS = 10
 #: Text of a block, and of a batch of the byte model; the model of a batch fits the cache.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 1 << 15
 #: Decisions in a document's first stretch, and in the longest.
 STRETCH, LONGEST = 256, 4096
@@ -194,8 +194,8 @@ def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> n
     return np.add.reduceat(above.astype(np.float64), ends - sizes)
 
 
-def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """One pass: blocks of documents (kind 0, a row each), their tokens by part (1), byte counts (2)."""
+def observe(docs: DataFrame, id_col: str) -> DataFrame:
+    """One pass: blocks of documents (kind 0, a row each) and byte counts (1)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     out_schema = (
         f"kind int, block bigint, ids array<{id_type}>, held_out array<boolean>, "
@@ -213,7 +213,7 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
             )
 
         block = TaskContext.get().partitionId() << 24
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         histogram = np.zeros(256, np.int64)
         texts: list[bytes] = []
         kept: list[tuple[pa.Array, pa.Array]] = []
@@ -229,20 +229,6 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
                 "numbers": pa.array([packed(sizes)], pa.binary()),
             }
             yield rows(0, 1, given)
-            found, number, document = tokens(texts)
-            train = ~held.to_numpy(zero_copy_only=False)
-            n = np.bincount(number[train[document]], minlength=len(found)).astype(np.uint32)
-            n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
-            order, part = dealt(found, parts)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
-            given = {
-                # A token holds no line end.
-                "data": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
-                "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
-                "number": pa.array(part[cuts].astype(np.int32)),
-            }
-            yield rows(1, len(spans), given)
 
         size = 0
         for part in rows_of(batches):
@@ -260,7 +246,7 @@ def observe(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
         if types[2] is not None:
             if texts:
                 yield from close()
-            yield rows(2, 256, {"number": pa.array(np.arange(256, dtype=np.int32)), "n": pa.array(histogram)})
+            yield rows(1, 256, {"number": pa.array(np.arange(256, dtype=np.int32)), "n": pa.array(histogram)})
 
     return docs.mapInArrow(run, out_schema)
 
@@ -394,12 +380,33 @@ def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndar
     return out, begins, lengths, inverse
 
 
-def token_counts(observed: DataFrame) -> DataFrame:
+def token_counts(observed: DataFrame, parts: int) -> DataFrame:
     """Per block and part, the sums over all blocks for the block's tokens, in their order.
 
     ``n`` and ``known`` add up to all training tokens and the distinct ones.
     """
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for block in rows_of(batches, 1):
+            texts = documents_of(block["data"][0].as_py(), block["numbers"][0].as_py())
+            train = ~block["held_out"].flatten().to_numpy(zero_copy_only=False)
+            found, number, document = tokens(texts)
+            n = np.bincount(number[train[document]], minlength=len(found)).astype(np.uint32)
+            n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
+            order, part = dealt(found, parts)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": np.full(len(spans), block["block"][0].as_py()),
+                    "number": part[cuts].astype(np.int32),
+                    # A token holds no line end.
+                    "data": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
+                    "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
+                }
+            )
+
     def add(part: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         lists = [unpack.decompress(x).split(b"\n") for x in part["data"].to_pylist()]
@@ -419,8 +426,9 @@ def token_counts(observed: DataFrame) -> DataFrame:
             }
         )
 
-    listed = observed.filter("kind = 1").select("block", "number", "data", "numbers")
-    return listed.groupBy("number").applyInArrow(add, "block bigint, part int, counts binary, n bigint, known bigint")
+    blocks = observed.filter("kind = 0").select("block", "held_out", "data", "numbers")
+    dealt_out = blocks.mapInArrow(listed, "block bigint, number int, data binary, numbers binary")
+    return dealt_out.groupBy("number").applyInArrow(add, "block bigint, part int, counts binary, n bigint, known bigint")
 
 
 def model(observed: DataFrame, parts: int, code: Code) -> DataFrame:
@@ -458,7 +466,7 @@ def model(observed: DataFrame, parts: int, code: Code) -> DataFrame:
             reps = lengths[mine]
             ends = np.cumsum(reps)
             at = np.arange(ends[-1]) + np.repeat(begins[mine] - (ends - reps), reps)
-            out.append(zstandard.ZstdCompressor(level=1).compress(odds[at].tobytes()))
+            out.append(zstandard.ZstdCompressor(level=3).compress(odds[at].tobytes()))
         columns = [part["block"], part["number"], pa.array(out, pa.binary())]
         return pa.table(columns, names=["block", "part", "odds"])
 
@@ -494,7 +502,7 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
 
 def scored(observed: DataFrame, id_col: str, id_type: str, parts: int, code: Code) -> DataFrame:
     """Per document n_tokens, n_known, train_tokens and the scores."""
-    counted = store(token_counts(observed), "lm-counts")
+    counted = store(token_counts(observed, parts), "lm-counts")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     # Ids as text, since pandas turns integers beside nulls into floats.
     blocks = observed.filter("kind = 0").select(
@@ -541,7 +549,7 @@ def scored(observed: DataFrame, id_col: str, id_type: str, parts: int, code: Cod
 
 def byte_code(observed: DataFrame) -> Code:
     counts = np.zeros(256, np.int64)
-    for row in observed.filter("kind = 2").groupBy("number").agg(F.sum("n").alias("n")).collect():
+    for row in observed.filter("kind = 1").groupBy("number").agg(F.sum("n").alias("n")).collect():
         counts[row["number"]] = row["n"]
     return prefix_code(counts)
 
@@ -563,5 +571,5 @@ def score_texts(
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     parts = 1 + size // PART_BYTES
-    observed = store(observe(rows, id_col, parts), "lm-tokens", ["kind"])
+    observed = store(observe(rows, id_col), "lm-tokens", ["kind"])
     return scored(observed, id_col, rows.schema[id_col].dataType.simpleString(), parts, byte_code(observed))
