@@ -158,6 +158,12 @@ def test_layout_grows_with_the_rows():
     ]
 
 
+def test_tasks_of_a_fit_do_not_multiply_with_the_rows(observations):
+    keyed = observations.select("*", learners.spread_key(["event_id", *FEATURES]))
+    assert learners.stable_layout(keyed, "event_id", 9_000_000).rdd.getNumPartitions() == 48
+    assert [learners.fit_tasks(n) for n in (0, 10_001, 150_000, 10**6, 54 * 10**6, 10**11)] == [1, 2, 15, 48, 54, 50_000]
+
+
 def test_learner_parameters():
     a, b = learners.boosted_a(), learners.boosted_b()
     assert (a.vote, b.vote) == (0.30, 0.70)
