@@ -200,6 +200,28 @@ def test_classifier_learns(spark, documents):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_classifier_learns_from_all_labelled_rows(spark, documents, monkeypatch):
+    texts, y = toxic_set(random.Random(11), 9_500)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id bigint, toxic int")
+    apart = labels.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).alias("apart")).collect()
+    taught = Counter(y[r.doc_id] for r in apart if not r.apart)
+    assert taught[0] > 3000
+    seen, start = [], toxicity.started
+    monkeypatch.setattr(toxicity, "started", lambda s, counts, n: seen.append(n) or start(s, counts, n))
+    monkeypatch.setattr(toxicity, "PART_ROWS", 2000)  # several units an epoch
+    model = toxicity.fit(documents(texts), labels)
+    assert [list(n) for n in seen] == [[taught[0], taught[1]]]
+    logits = toxicity.Scorer(model).logits([t.encode() for t in texts]) + model.shift
+    found, y = toxicity.sigmoid(logits) >= toxicity.CUT, np.array(y)
+    assert 2 * (found & (y == 1)).sum() / (found.sum() + y.sum()) > 0.95
+
+
+def test_long_texts_are_learned_from_in_pieces():
+    long = " ".join(["word"] * (toxicity.PIECE + 5))
+    u = toxicity.unit([(long.encode(), 1), (b"", 0)], toxicity.Settings())
+    assert [len(c) for c in u.coded] == [toxicity.PIECE, 5, 0] and list(u.labels) == [1, 1, 0]
+
+
 def test_training_lowers_the_loss():
     texts, y = toxic_set(random.Random(3), 300)
     rows = [(t.encode(), v) for t, v in zip(texts, y)]
@@ -227,6 +249,14 @@ def test_best_cut():
     assert toxicity.best_cut(np.array([1.0, 1.0]), np.array([0, 0])) == 0.0
 
 
+def test_best_cut_of_counted_logits():
+    rng = np.random.default_rng(5)
+    logits, y = rng.integers(-6, 7, 400) / 4, rng.integers(0, 2, 400)
+    steps, at = np.unique(logits, return_inverse=True)
+    counted = toxicity.best_cut(steps, np.bincount(at, y), np.bincount(at).astype(float))
+    assert counted == toxicity.best_cut(logits, y)
+
+
 def brute_nearest(rows, query, k):
     valid = [
         (i, np.array(v, float)) for i, v in rows
