@@ -9,6 +9,7 @@ from geoscore.operators import folds, ledger, ranking
 from geoscore.plans import importance, learners, levels
 from geoscore.plans.model import fit
 from geoscore.streaming.two_outputs import TwoOutputs
+from geoscore.workload import queries
 from geoscore.workload.queries import _observations
 
 
@@ -188,3 +189,11 @@ def test_importance_by_brute_force(spark, sf_dir):
         assert found[f].auc_drop == pytest.approx(plain.roc_auc - want.roc_auc)
         assert found[f].ap_drop == pytest.approx(plain.average_precision - want.average_precision)
     assert found["slope_deg"].auc_drop > found["land_cover"].auc_drop
+
+
+def test_an_inbox_grows_in_files_not_in_their_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "INBOX_RECORDS", 100)
+    records = spark.range(1000).selectExpr("cast(id as string) AS record")
+    in_batch = queries._write_inbox(records, str(tmp_path / "inbox"))
+    sizes = [len(p.read_text().splitlines()) for p in (tmp_path / "inbox").glob("part-*")]
+    assert in_batch == 4 and len(sizes) == 12 and sum(sizes) == 1000 and max(sizes) <= 110
