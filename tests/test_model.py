@@ -9,6 +9,7 @@ from geoscore.plans import heat, learners, model, report, scoring, validation
 from geoscore.schema import CATEGORICAL, FEATURES, LABEL, METRICS_COLUMNS, THRESHOLD_CURVE_COLUMNS
 from geoscore.sources import sinks, storage, tables
 from geoscore.streaming import score_stream as streaming
+from geoscore.workload import queries
 from geoscore.workload.views import view
 
 ROUNDS = 2
@@ -311,3 +312,23 @@ def test_closing_drops_what_training_stored(spark, observations):
     result.close()
     left = [p for p in result.stored if Path(p.removeprefix("file:")).exists()]
     assert left == []
+
+
+def test_a_query_fits_the_candidates_it_needs(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def counted(rows, row_id, wanted, *args, **kwargs):
+        asked.append([m.name for m in wanted])
+        return model.fit(rows, row_id, wanted, *args, **kwargs)
+
+    monkeypatch.setattr(queries, "_STATE", {})
+    monkeypatch.setattr(validation, "fit", counted)
+    alone = queries.boosted_b_oof(spark, sf_dir)
+    assert asked == [["b"]] * 5
+    pair = queries.ensemble_oof(spark, sf_dir)
+    assert asked == [["b"]] * 5 + [["a"]] * 5
+    # Fitted apart or together, on shared folds and encoders: the same trees.
+    together = validation.out_of_fold(queries._folded(spark, sf_dir), "event_id", queries._voters())
+    columns = ["event_id", "fold", "p_a", "p_b", "score"]
+    assert pair.select(columns).exceptAll(together.select(columns)).count() == 0 < pair.count()
+    assert alone.exceptAll(pair.select(alone.columns)).count() == 0
