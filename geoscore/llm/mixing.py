@@ -27,7 +27,6 @@ an empty table gives an empty one.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -147,32 +146,34 @@ def joined(documents: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(d) + 1 for d in documents])
 
 
-def steps(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The path of each byte: its length, where it begins among all steps, places in the code."""
-    reps = code.lengths[data]
-    ends = np.cumsum(reps, dtype=np.int32)
-    at = np.arange(ends[-1], dtype=np.int32) + np.repeat(code.begins[data] - (ends - reps), reps)
-    return reps, ends - reps, at
+def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> np.ndarray:
+    """Bits of each document of so many decisions with these branches and log odds; see :func:`weighed`."""
+    sign = np.float32(1) - np.float32(2) * bit
+    return weighed(sizes, [i * sign for i in inputs])
 
 
-def mixed(sizes: np.ndarray, bit: np.ndarray, inputs: Sequence[np.ndarray]) -> np.ndarray:
+def weighed(sizes: np.ndarray, inputs: Sequence[np.ndarray]) -> np.ndarray:
     """Bits of each document of so many decisions, its weights refined stretch by stretch.
 
-    A weight of a gate is the weight of a row that is zero where another gate holds. Rows carry the
-    sign of what did not come, so that weights times rows are the log odds of a wrong decision.
+    Inputs are log odds of what did not come, so that weights times rows are the log odds of a wrong
+    decision. A weight of a gate is the weight of a row that is zero where another gate holds.
     """
-    x, longer, word = (i * (np.float32(1) - np.float32(2) * bit) for i in inputs)
-    gates = np.empty((4, len(bit)), np.float32)
-    np.not_equal(longer, 0, out=gates[1], casting="unsafe")
-    np.not_equal(word, 0, out=gates[2], casting="unsafe")
-    np.multiply(gates[1], gates[2], out=gates[3])
-    gates[1:3] -= gates[3]
-    np.subtract(1, gates[1:].sum(axis=0), out=gates[0])
-    rows = np.empty((len(GATE_OF), len(bit)), np.float32)
-    np.multiply(gates, x, out=rows[:4])
-    np.multiply(gates[1::2], longer, out=rows[4:6])
-    np.multiply(gates[2:], word, out=rows[6:])
-    above = np.empty(len(bit), np.float32)
+    x, longer, word = inputs
+    n = len(x)
+    gates = np.empty((4, n), np.float32)
+    known = longer != 0, word != 0
+    both = known[0] & known[1]
+    gates[0] = ~(known[0] | known[1])
+    gates[1], gates[2], gates[3] = known[0] ^ both, known[1] ^ both, both
+    rows = np.empty((len(GATE_OF), n), np.float32)
+    rows[0], rows[4], rows[6] = x, longer, word
+    np.multiply(gates[1:], rows[0], out=rows[1:4])
+    rows[0] *= gates[0]
+    # An input is zero where it is not known, so what is not in both gates is in the other one.
+    np.multiply(gates[3], rows[4], out=rows[5])
+    np.multiply(gates[3], rows[6], out=rows[7])
+    rows[4::2] -= rows[5::2]
+    above = np.empty(n, np.float32)
     ones = np.ones(LONGEST, np.float32)
     ends = np.cumsum(sizes)
     start = WEIGHTS[GATE_OF, INPUT_OF] / np.float32(STEPS)
@@ -278,31 +279,79 @@ def tokens(documents: Sequence[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray
 
 def dealt(found: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of tokens in the order of their parts and then of themselves; each one's part."""
-    part = np.fromiter(map(zlib.crc32, found.to_pylist()), np.int64, len(found)) % parts
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    text = np.frombuffer(found.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends, lengths = offsets - offsets[0], np.diff(offsets)
+    place = np.arange(len(text)) - np.repeat(ends[:-1], lengths)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()) + 1)[0][place], out=sums[1:])
+    x = (sums[ends[1:]] - sums[ends[:-1]]) * np.uint64(0xD1342543DE82EF95)
+    part = (((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     order = pc.sort_indices(found).to_numpy()
     order = order[np.argsort(part[order], kind="stable")]
     return order, part[order]
 
 
-def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a context and the byte after it, by part and pair; each one's part; each byte's pair.
+def lines(found: pa.Array, cuts: list[int]) -> pa.Array:
+    """Tokens from each cut to the next as one text, a line each; a token holds no line end."""
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)
+    return pc.binary_join(lists, pa.scalar(b"\n", found.type))
 
-    A pair is the context and, in the low 8 bits, the byte.
-    """
+
+def of_lines(text: bytes) -> pa.Array:
+    """The lines of a text."""
+    stops = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    # Each line keeps its end, which is cut from all of them at once.
+    offsets = np.concatenate([[0], stops + 1, [len(text) + 1]]).astype(np.int64)
+    ended = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text + b"\n")])
+    return pc.binary_slice(ended, 0, -1)
+
+
+def pair_keys(documents: Sequence[bytes], kind: int | str) -> np.ndarray:
+    """Every byte's pair: the context and, in the low 8 bits, the byte."""
     keys, end = np.empty(sum(map(len, documents)) + len(documents), np.uint64), 0
     for few in batches_of(documents):
         data, sizes = joined(few)
         keys[end : end + len(data)] = context(data, np.cumsum(sizes) - sizes, kind) << np.uint64(8) | data
         end += len(data)
-    values, index = by_word(keys) if kind == "word" else encoded(keys)
-    del keys
+    return keys
+
+
+def by_part(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs, given in their order, by part and pair; each one's part."""
     x = (values >> np.uint64(8)) * np.uint64(0xD1342543DE82EF95)
     part = ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    return order, part[order].astype(np.int64)
+
+
+def pairs(documents: Sequence[bytes], kind: int | str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a context and the byte after it, by part and pair; each one's part; each byte's pair."""
+    values, index = encoded(pair_keys(documents, kind))
     order = np.argsort(values)
-    order = order[np.argsort(part[order].astype(np.min_scalar_type(parts)), kind="stable")]
+    again, part = by_part(values[order], parts)
+    order = order[again]
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    return values[order], part[order].astype(np.int64), place[index]
+    return values[order], part, place[index]
+
+
+def counted_pairs(
+    documents: Sequence[bytes], learned: np.ndarray, kind: int | str, parts: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and their parts as from :func:`pairs`; how often each is among the learned bytes."""
+    keys = pair_keys(documents, kind)
+    if kind in range(4):  # as sorting half the width takes half the time
+        keys = keys.astype(np.uint32)
+    others, keys = np.sort(keys[~learned]), np.sort(keys[learned])
+    begins = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    known = keys[begins]
+    values = np.sort(np.concatenate([known, others[np.flatnonzero(np.diff(others, prepend=~others[:1]))]]))
+    values = values[np.flatnonzero(np.diff(values, prepend=~values[:1]))].astype(np.uint64)
+    n = np.zeros(len(values), np.uint32)
+    n[np.searchsorted(values, known.astype(np.uint64))] = np.diff(begins, append=len(keys))
+    order, part = by_part(values, parts)
+    return values[order], part, n[order]
 
 
 def encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,21 +445,21 @@ def token_counts(observed: DataFrame, parts: int) -> DataFrame:
             n[pc.index(found, pa.scalar(b"", found.type)).as_py()] = train.sum()
             order, part = dealt(found, parts)
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            cuts.append(len(order))
+            spans = [order[a:b] for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": np.full(len(spans), block["block"][0].as_py()),
-                    "number": part[cuts].astype(np.int32),
-                    # A token holds no line end.
-                    "data": pa.array([pack.compress(b"\n".join(found.take(x).to_pylist())) for x in spans], pa.binary()),
+                    "number": part[cuts[:-1]].astype(np.int32),
+                    "data": pa.array([pack.compress(t.as_buffer()) for t in lines(found.take(order), cuts)], pa.binary()),
                     "numbers": pa.array([packed(n[x]) for x in spans], pa.binary()),
                 }
             )
 
     def add(part: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        lists = [unpack.decompress(x).split(b"\n") for x in part["data"].to_pylist()]
-        found = pa.chunked_array([pa.array(x, pa.binary()) for x in lists]).combine_chunks().dictionary_encode()
+        lists = [of_lines(unpack.decompress(x)) for x in part["data"].to_pylist()]
+        found = pa.concat_arrays(lists).dictionary_encode()
         index = found.indices.to_numpy()
         sums = np.zeros(len(found.dictionary), np.int64)
         np.add.at(sums, index, np.concatenate([unpacked(x, np.uint32) for x in part["numbers"].to_pylist()]).astype(np.int64))
@@ -441,8 +490,7 @@ def model(observed: DataFrame, parts: int, code: Code) -> DataFrame:
             held = block["held_out"].flatten().to_numpy(zero_copy_only=False)
             learned = ~np.repeat(held, [len(t) + 1 for t in texts])
             for k, kind in enumerate(CONTEXTS):
-                keys, part, pair = pairs(texts, kind, parts)
-                n = np.bincount(pair[learned], minlength=len(keys)).astype(np.uint32)
+                keys, part, n = counted_pairs(texts, learned, kind, parts)
                 cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
                 spans = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
                 yield pa.RecordBatch.from_pydict(
@@ -486,16 +534,25 @@ def block_costs(documents: Sequence[bytes], odds: dict[int, bytes], parts: int,
         own = b"".join(unpack.decompress(odds[k * parts + p]) for p in np.unique(part).tolist())
         if len(own) != lengths.sum():
             raise ValueError("log odds don't fit the pairs of the block")
-        known.append((np.frombuffer(own, np.int8), begins[pair]))
-        del values, part, pair
+        # The byte of a pair tells the branches of its path: turn the odds to those of what did not come.
+        at = np.arange(len(own), dtype=np.int32) + np.repeat(code.begins[values & np.uint64(255)] - begins, lengths)
+        turned = np.frombuffer(own, np.int8) * (1 - 2 * code.bits.view(np.int8))[at]
+        known.append((turned, begins, pair))
+        del values, part, pair, at
     out, begin = [], 0
     for few in batches_of(documents):
         data, sizes = joined(few)
-        reps, starts, at = steps(data, code)
-        index = np.arange(len(at))
+        reps = code.lengths[data]
+        ends = np.cumsum(reps, dtype=np.int64)
+        starts = ends - reps
         now = slice(begin, begin + len(data))
-        inputs = [o.take(np.repeat(b[now] - starts, reps) + index).astype(np.float32) for o, b in known]
-        out.append(mixed(np.add.reduceat(reps, np.cumsum(sizes) - sizes), code.bits[at], inputs))
+        index = np.arange(ends[-1])
+        inputs = []
+        for odds_of, begins, pair in known:
+            at = np.repeat(begins.take(pair[now]) - starts, reps)
+            at += index
+            inputs.append(odds_of.take(at))
+        out.append(weighed(np.add.reduceat(reps, np.cumsum(sizes) - sizes), inputs))
         begin = now.stop
     return np.concatenate(out)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from geoscore.llm import chat, mixing, neighbours, toxicity
@@ -112,6 +113,43 @@ def test_tokens_and_pairs_of_words():
         assert (values[index] == keys).all() and (plain[places] == keys).all() and sorted(values) == sorted(plain)
 
 
+def test_pairs_and_tokens_are_listed_by_sorting_and_arrays():
+    texts = [b"The cat sat on the mat. " * 5, b"", b"a cat", "Größe und Größe".encode(), "".join(map(chr, range(256))).encode()]
+    learned = np.repeat([True, False, True, False, True], [len(t) + 1 for t in texts])
+    for kind in mixing.CONTEXTS:
+        values, part, pair = mixing.pairs(texts, kind, 5)
+        for some in (learned, ~learned, learned | True, learned & False):
+            keys, parts, n = mixing.counted_pairs(texts, some, kind, 5)
+            assert keys.dtype == np.uint64 and (keys == values).all() and (parts == part).all()
+            assert (n == np.bincount(pair[some], minlength=len(keys))).all()
+    found, _, _ = mixing.tokens(texts)
+    order, part = mixing.dealt(found, 3)
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(order)]
+    back = [mixing.of_lines(t.as_py()).to_pylist() for t in mixing.lines(found.take(order), cuts)]
+    words = found.to_pylist()
+    assert sorted(order.tolist()) == list(range(len(words))) and (np.diff(part) >= 0).all()
+    assert back == [[words[i] for i in order[a:b]] for a, b in zip(cuts, cuts[1:])]
+    assert mixing.of_lines(b"").to_pylist() == [b""] and mixing.of_lines(b"\na").to_pylist() == [b"", b"a"]
+
+
+def test_costs_of_a_block_with_turned_odds():
+    """Odds turned once per pair cost what the branches of every decision cost."""
+    texts = [b"aab ab aab", b"", b"abba baab " * 400]
+    code = mixing.prefix_code(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    odds, inputs = {}, []
+    data = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+    bits = np.concatenate([code.bits[code.begins[c] : code.begins[c] + code.lengths[c]] for c in data])
+    for k, kind in enumerate(mixing.CONTEXTS):
+        values, part, pair = mixing.pairs(texts, kind, 1)
+        lengths = code.lengths[values & np.uint64(255)]
+        own = (np.arange(lengths.sum()) * 37 % 61 - 30).astype(np.int8)
+        odds[k] = zstandard.ZstdCompressor().compress(own.tobytes())
+        begins = np.cumsum(lengths) - lengths
+        inputs.append(np.concatenate([own[begins[p] : begins[p] + lengths[p]] for p in pair]).astype(np.float32))
+    sizes = [code.lengths[np.frombuffer(t + b"\xff", np.uint8)].sum() for t in texts]
+    assert np.allclose(mixing.block_costs(texts, odds, 1, code), mixing.mixed(np.array(sizes), bits, inputs), rtol=1e-6)
+
+
 def test_learning_lowers_the_cost(documents):
     rng = random.Random(6)
     texts = [prose(150, rng) for _ in range(80)]
